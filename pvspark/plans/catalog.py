@@ -1,133 +1,9 @@
-"""Registered queries (Spark) and their DuckDB oracle SQL.
-
-Every query reads the driver tables under ``sf_dir`` (or tables Spark derives
-from them) and runs over whole tables.  Doubles are rounded to 6 decimals on
-both sides so that summation order cannot change the value hash.
-"""
+"""All registered queries; importing a query module registers it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from pvspark.operators.config import FeatureConfig
-from pvspark.operators.eligibility import add_eligibility, eligibility_table, reason_counts
-from pvspark.operators.history import add_history
-from pvspark.plans import oracle as O
-from pvspark.sources import fixtures as fx
-
-DIGITS = 6
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-# The flagship configuration: three lags and three rolling windows.
-FLAGSHIP_CFG = FeatureConfig(rolling_window_hours=(3, 24, 168), include_weather_lags=False)
-
-
-def stable_round(c, digits: int = DIGITS):
-    """Round identically in Spark and DuckDB: first to 9 decimals (removes
-    summation-order noise), then to ``digits`` with an explicit scale,
-    round-to-integer, unscale (both engines agree on exact .5 integers)."""
-    hi, lo = float(10 ** 9), float(10 ** digits)
-    y = F.round(c * F.lit(hi), 0) / F.lit(hi)
-    return F.round(y * F.lit(lo), 0) / F.lit(lo) + F.lit(0.0)
-
-
-def stable_round_sql(c: str, digits: int = DIGITS) -> str:
-    return (f"round(round({c} * CAST(1000000000 AS DOUBLE)) / CAST(1000000000 AS DOUBLE) "
-            f"* CAST({10 ** digits} AS DOUBLE)) / CAST({10 ** digits} AS DOUBLE) + CAST(0 AS DOUBLE)")
-
-
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(stable_round(F.col(f.name), digits).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
-
-
-def rnd_sql(sql: str, double_cols: list[str], digits: int = DIGITS) -> str:
-    if not double_cols:
-        return sql
-    rep = ", ".join(f"{stable_round_sql(c, digits)} AS {c}" for c in double_cols)
-    return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-HOURLY_DOUBLES = ["ac_energy_kwh", "ghi_w_m2", "ambient_temperature_c", "cloud_cover_pct",
-                  "relative_humidity_pct", "wind_speed_m_s", "dni_w_m2", "dhi_w_m2",
-                  "module_temperature_c", "precipitation_mm", "inverter_availability_pct"]
-
-
-# ---------------------------------------------------------------- fixtures
-@register("events_hourly", O.with_ctes(O.EVENTS_HOURLY) + "SELECT * FROM hourly")
-def q_events_hourly(spark, d):
-    return fx.events_hourly(spark, d)
-
-
-@register("orders_hourly", O.with_ctes(O.ORDERS_HOURLY) + "SELECT * FROM hourly")
-def q_orders_hourly(spark, d):
-    return fx.orders_hourly(spark, d)
-
-
-# ---------------------------------------------------------------- history
-def _flagship_features(spark, d, cfg=FLAGSHIP_CFG):
-    hourly = fx.events_hourly(spark, d)
-    out, _, _, failures = add_history(hourly, cfg)
-    return add_eligibility(out, failures)
-
-
-def _flagship_sql(cfg=FLAGSHIP_CFG):
-    hist, names, failures = O.history_select(cfg, HOURLY_DOUBLES)
-    elig = O.eligibility_select(failures, "hist")
-    return O.with_ctes(O.EVENTS_HOURLY, f"hist AS ({hist})", f"feat AS ({elig})"), names
-
-
-_fs, _hist_names = _flagship_sql()
-
-
-@register("eligibility_by_site_reason",
-          _fs + "SELECT site_id, feature_eligible, "
-          "CASE WHEN reason = '' THEN 'eligible' ELSE reason END AS reason, count(*) AS row_count "
-          "FROM (SELECT site_id, feature_eligible, unnest(string_split(feature_missing_reasons, ';')) AS reason FROM feat) "
-          "GROUP BY ALL")
-def q_eligibility_table(spark, d):
-    return eligibility_table(_flagship_features(spark, d))
-
-
-@register("eligibility_reason_counts",
-          _fs + "SELECT reason, count(*) AS row_count FROM "
-          "(SELECT unnest(string_split(feature_missing_reasons, ';')) AS reason FROM feat) "
-          "WHERE reason <> '' GROUP BY reason")
-def q_reason_counts(spark, d):
-    return reason_counts(_flagship_features(spark, d))
-
-
-_hist_doubles = [n for n in _hist_names if not n.endswith("_count")]
-
-
-@register("generation_history",
-          rnd_sql(_fs + "SELECT site_id, timestamp, ac_energy_kwh, " + ", ".join(_hist_names)
-                  + ", feature_missing_count, feature_missing_reasons, feature_eligible FROM feat",
-                  _hist_doubles))
-def q_generation_history(spark, d):
-    df = _flagship_features(spark, d)
-    return rounded(df.select("site_id", "timestamp", "ac_energy_kwh", *_hist_names,
-                             "feature_missing_count", "feature_missing_reasons", "feature_eligible"))
-
+from pvspark.plans import q_history  # noqa: F401
+from pvspark.plans import q_profile  # noqa: F401
+from pvspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q_eligibility_table(spark, sf_dir)
+flagship = q_history.flagship

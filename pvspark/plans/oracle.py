@@ -114,3 +114,29 @@ def eligibility_select(failures: list[tuple[str, str]], source: str) -> str:
     return (f"SELECT *, CAST(len(_r) AS INTEGER) AS feature_missing_count, "
             f"array_to_string(_r, ';') AS feature_missing_reasons, len(_r) = 0 AS feature_eligible "
             f"FROM (SELECT *, {arr} AS _r FROM {source})")
+
+
+def describe_sql(x: str) -> str:
+    return (f"CASE WHEN count({x}) > 0 THEN count({x}) END AS count, min({x}) AS minimum, "
+            f"max({x}) AS maximum, avg({x}) AS mean, quantile_cont({x}, 0.5) AS median, "
+            f"CASE WHEN count({x}) = 1 THEN CAST(0 AS DOUBLE) ELSE stddev_samp({x}) END AS standard_deviation, "
+            f"quantile_cont({x}, 0.05) AS percentile_05, quantile_cont({x}, 0.25) AS percentile_25, "
+            f"quantile_cont({x}, 0.5) AS percentile_50, quantile_cont({x}, 0.75) AS percentile_75, "
+            f"quantile_cont({x}, 0.95) AS percentile_95, sum({x}) AS total")
+
+
+DESCRIBE_DOUBLES = ["minimum", "maximum", "mean", "median", "standard_deviation", "percentile_05",
+                    "percentile_25", "percentile_50", "percentile_75", "percentile_95", "total"]
+
+COVERAGE = """
+cov_keys AS (SELECT site_id, timestamp, count(*) AS n FROM hourly GROUP BY ALL),
+cov_days AS (SELECT site_id, date_trunc('day', timestamp) AS day, CAST(sum(n) AS BIGINT) AS n,
+             CAST(sum(n - 1) AS BIGINT) AS dups, min(timestamp) AS lo, max(timestamp) AS hi
+             FROM cov_keys GROUP BY ALL),
+cov_sites AS (SELECT site_id, min(lo) AS earliest_timestamp, max(hi) AS latest_timestamp,
+              CAST(sum(n) AS BIGINT) AS actual_hourly_records, CAST(sum(dups) AS BIGINT) AS duplicate_count,
+              count(*) FILTER (WHERE n = 24) AS complete_days, count(*) FILTER (WHERE n < 24) AS partial_days
+              FROM cov_days GROUP BY site_id),
+coverage AS (SELECT site_id, earliest_timestamp, latest_timestamp,
+   CAST(floor((epoch_us(latest_timestamp) - epoch_us(earliest_timestamp)) / 3600000000) + 1 AS BIGINT) AS expected_hourly_records,
+   actual_hourly_records, duplicate_count, complete_days, partial_days FROM cov_sites)"""
