@@ -5,6 +5,7 @@ from __future__ import annotations
 from pvspark.plans import q_history  # noqa: F401
 from pvspark.plans import q_profile  # noqa: F401
 from pvspark.plans import q_quality  # noqa: F401
+from pvspark.plans import q_validation  # noqa: F401
 from pvspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 flagship = q_history.flagship
