@@ -187,6 +187,10 @@ PAYLOAD_FIELDS = (
 )
 
 
+def _field_getter(name: str):
+    return lambda e: e[name]
+
+
 def weather_payloads(weather: DataFrame) -> DataFrame:
     """F-PAYLOAD: one archive-style payload per (site, month), times naive UTC.
 
@@ -199,6 +203,6 @@ def weather_payloads(weather: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(entry)).alias("entries"))
     hourly = F.struct(
         F.transform("entries", lambda e: F.date_format(e["t"], "yyyy-MM-dd'T'HH:mm")).alias("time"),
-        *[F.transform("entries", lambda e, p=p: e[p]).alias(p) for p, _ in PAYLOAD_FIELDS],
+        *[F.transform("entries", _field_getter(p)).alias(p) for p, _ in PAYLOAD_FIELDS],
     )
     return grouped.select("site_id", "month", F.struct(hourly.alias("hourly")).alias("payload"))
