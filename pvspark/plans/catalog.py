@@ -7,6 +7,7 @@ from pvspark.plans import q_profile  # noqa: F401
 from pvspark.plans import q_quality  # noqa: F401
 from pvspark.plans import q_validation  # noqa: F401
 from pvspark.plans import q_align  # noqa: F401
+from pvspark.plans import q_features  # noqa: F401
 from pvspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 flagship = q_history.flagship
