@@ -94,9 +94,18 @@ def join_generation_weather(gen: DataFrame, wx: DataFrame, strict: bool = True)
     return joined.select(*[c for c in CANONICAL if c in joined.columns])
 
 
-def with_site_attributes(df: DataFrame, sites: DataFrame, fields: list[str]) -> DataFrame:
-    """Site attribute lookup (left join on site_id, size-checked broadcast)."""
-    small = size_checked_broadcast(sites.select("site_id", *fields))
+def with_site_attributes(df: DataFrame, sites: DataFrame, fields: list[str],
+                         max_broadcast_rows: int | None = None) -> DataFrame:
+    """Site attribute lookup (left join on site_id).
+
+    By default the join is planned normally and AQE's runtime size check turns
+    it into a broadcast hash join when the site table is small (no extra job).
+    With ``max_broadcast_rows`` the site table is counted (bounded read) and
+    broadcast explicitly when it has at most that many rows.
+    """
+    small = sites.select("site_id", *fields)
+    if max_broadcast_rows is not None:
+        small = size_checked_broadcast(small, max_broadcast_rows)
     return df.join(small, "site_id", "left")
 
 

@@ -20,22 +20,46 @@ SPLIT_NAMES = ("training", "validation", "testing")
 FEATURE_SPLIT_NAMES = {"training": "train", "validation": "validation", "testing": "test"}
 
 
-def kth_distinct_timestamps(df: DataFrame, ranks: list[int], ts: str = "timestamp") -> dict[int, object]:
-    """1-based ranks of distinct timestamps -> timestamp (driver gets len(ranks) values)."""
+def day_counts(df: DataFrame, ts: str = "timestamp") -> list[tuple[object, int]]:
+    """Distinct timestamps per UTC day, sorted (one row per calendar day)."""
     distinct = df.select(F.col(ts).alias("t")).distinct()
-    days = distinct.groupBy(F.date_trunc("day", "t").alias("day")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row per day
-    cum = days.select("day", "n", F.sum("n").over(w).alias("upto"))
-    out = {}
-    for k in ranks:
-        row = cum.filter((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)).select("day", "upto", "n").first()
-        if row is None:
-            out[k] = None
-            continue
-        pos = k - (row["upto"] - row["n"])
-        day_ts = distinct.filter(F.date_trunc("day", "t") == F.lit(row["day"]))
-        pick = day_ts.select("t", F.row_number().over(Window.orderBy("t")).alias("r")).filter(F.col("r") == pos)
-        out[k] = pick.first()["t"]
+    rows = distinct.groupBy(F.date_trunc("day", "t").alias("day")).agg(F.count("*").alias("n")).collect()
+    return sorted((r["day"], r["n"]) for r in rows)
+
+
+def kth_distinct_timestamps(df: DataFrame, ranks: list[int], ts: str = "timestamp",
+                            days: list[tuple[object, int]] | None = None) -> dict[int, object]:
+    """1-based ranks of distinct timestamps -> timestamp, in two jobs.
+
+    Job 1: distinct timestamps counted per day (rows = calendar days).  The
+    boundary day of each rank follows from the running total on the driver.
+    Job 2: only the boundary days' timestamps are ranked (partitioned by day).
+    """
+    days = days if days is not None else day_counts(df, ts)
+    want: dict[object, list[tuple[int, int]]] = {}
+    upto = 0
+    targets = sorted(ranks)
+    ti = 0
+    for day, n in days:
+        while ti < len(targets) and targets[ti] <= upto + n:
+            want.setdefault(day, []).append((targets[ti], targets[ti] - upto))
+            ti += 1
+        upto += n
+    out = {k: None for k in ranks}
+    if not want:
+        return out
+    distinct = df.select(F.col(ts).alias("t")).distinct().withColumn("day", F.date_trunc("day", "t"))
+    cond = None
+    for day, picks in want.items():
+        for _, pos in picks:
+            c = (F.col("day") == F.lit(day)) & (F.col("r") == pos)
+            cond = c if cond is None else cond | c
+    ranked = distinct.filter(F.col("day").isin(list(want))).withColumn(
+        "r", F.row_number().over(Window.partitionBy("day").orderBy("t")))
+    found = {(r["day"], r["r"]): r["t"] for r in ranked.filter(cond).collect()}
+    for day, picks in want.items():
+        for k, pos in picks:
+            out[k] = found.get((day, pos))
     return out
 
 
@@ -48,13 +72,14 @@ class SplitPlan:
 
 def plan_chronological_splits(df: DataFrame, p: SplitProportions = SplitProportions()) -> SplitPlan:
     """Cut distinct timestamps at floor(n*p_train) and floor(n*p_val)."""
-    n = df.select(F.countDistinct("timestamp")).first()[0]
+    days = day_counts(df)
+    n = sum(c for _, c in days)
     train = int(math.floor(float(n) * p.training))
     val = int(math.floor(float(n) * p.validation))
     test = n - train - val
     if min(train, val, test) < 1:
         raise ValueError("Chronological split would contain an empty period; provide more unique timestamps.")
-    ends = kth_distinct_timestamps(df, [train, train + val])
+    ends = kth_distinct_timestamps(df, [train, train + val], days=days)
     return SplitPlan(ends[train], ends[train + val], (train, val, test))
 
 

@@ -10,6 +10,7 @@ from pvspark.plans import q_align  # noqa: F401
 from pvspark.plans import q_features  # noqa: F401
 from pvspark.plans import q_metrics  # noqa: F401
 from pvspark.plans import q_charts  # noqa: F401
+from pvspark.plans import q_models  # noqa: F401
 from pvspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 flagship = q_history.flagship

@@ -93,9 +93,7 @@ def feature_job_sql(cfg: FeatureConfig = CFG):
 def _spark_features(spark, d, cfg=CFG, only_eligible=False):
     h = fx.events_hourly(spark, d)
     plan = SP.plan_chronological_splits(h)
-    lab = SP.label_chronological(h.select("site_id", "timestamp"), plan)
-    periods = SP.periods_from_plan(plan, lab)
-    return FE.build_features(h, fx.sites_for(h), cfg, periods=periods, only_eligible=only_eligible)
+    return FE.build_features(h, fx.sites_for(h), cfg, split_plan=plan, only_eligible=only_eligible)
 
 
 _FJ, _HIST = feature_job_sql()
