@@ -14,6 +14,7 @@ from pvspark.operators import metrics as M
 from pvspark.operators import ranking as RK
 from pvspark.plans import q_features as QF
 from pvspark.plans.registry import register, rnd_sql, rounded
+from pvspark.session import cut_lineage
 
 MODELS = ["persistence", "dummy_mean", "rolling_mean_24h"]
 KEEP = ["site_id", "timestamp", "split", "ac_energy_kwh", "is_daylight", "installed_capacity_kwp", "ghi_w_m2",
@@ -25,9 +26,11 @@ def wide_predictions(spark, d):
     feats = r.features
     train_mean = feats.filter((F.col("split") == "train") & F.col("feature_eligible")).agg(
         F.avg("ac_energy_kwh")).scalar()
-    return feats.filter(F.col("split") == "validation").select(
+    wide = feats.filter(F.col("split") == "validation").select(
         *KEEP, F.col("ac_energy_lag_24h").alias("persistence"), train_mean.alias("dummy_mean"),
         F.col("ac_energy_rolling_24h_mean").alias("rolling_mean_24h"))
+    # Reused by counts, cohorts and several metric passes: materialise once.
+    return cut_lineage(wide)
 
 
 def _cohort_long(spark, d):

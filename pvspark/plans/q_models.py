@@ -16,7 +16,7 @@ from pvspark.plans import q_features as QF
 from pvspark.plans import q_metrics as QM
 from pvspark.plans import training as TR
 from pvspark.plans.registry import register, rnd_sql, rounded
-from pvspark.session import checkpoint_dir
+from pvspark.session import checkpoint_dir, cut_lineage
 
 PREDICTORS = QF.PREDICTORS
 # A compact search space for the registered tuning query (the default space
@@ -28,7 +28,8 @@ FAST = ML.TrainingConfig(random_forest_estimators=20, histogram_boosting_max_ite
 
 
 def _features(spark, d):
-    return QF._spark_features(spark, d).features
+    """Feature table materialised once per query (reused by fits and scores)."""
+    return cut_lineage(QF._spark_features(spark, d).features)
 
 
 @register("imputation_medians", rnd_sql(QF._FJ + " UNION ALL ".join(
