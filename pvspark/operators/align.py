@@ -60,19 +60,28 @@ def missing_weather_hours(gen: DataFrame, wx: DataFrame, block_hours: int = S.DE
 
 
 def join_problems(gen: DataFrame, wx: DataFrame) -> DataFrame:
-    """Both problem kinds with counts and the first ten keys (top-k, no sort)."""
+    """Both problem kinds with counts and the first ten keys.
+
+    Per kind, the key count (one global aggregate row) and the first ten keys
+    (a top-k) are unioned and folded by one small aggregate: no join.
+    """
     iso = F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     out = None
     for kind, keys in (("missing_weather_hours", missing_weather_hours(gen, wx)),
                        ("unmatched_generation", unmatched_generation(gen, wx))):
-        part = (keys.select(*JOIN_KEYS, F.concat(F.col("site_id"), F.lit("@"), iso).alias("k"))
-                .orderBy(*JOIN_KEYS).limit(MAX_DESCRIBED_KEYS)
-                .groupBy(F.lit(kind).alias("problem"))
-                .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*JOIN_KEYS, "k"))),
-                                              lambda s: s["k"]), ", ").alias("first_keys")))
-        counted = part.join(keys.groupBy(F.lit(kind).alias("problem")).agg(F.count("*").alias("key_count")), "problem")
-        out = counted if out is None else out.unionByName(counted)
-    return out.select("problem", "key_count", "first_keys")
+        n = keys.agg(F.count("*").alias("n")).select(
+            "n", F.lit(None).cast("string").alias("site_id"), F.lit(None).cast("timestamp").alias("timestamp"),
+            F.lit(None).cast("string").alias("k"))
+        first = keys.orderBy(*JOIN_KEYS).limit(MAX_DESCRIBED_KEYS).select(
+            F.lit(None).cast("bigint").alias("n"), "site_id", "timestamp",
+            F.concat(F.col("site_id"), F.lit("@"), iso).alias("k"))
+        part = n.unionByName(first).agg(
+            F.max("n").alias("key_count"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(
+                F.when(F.col("k").isNotNull(), F.struct("site_id", "timestamp", "k")))), lambda x: x["k"]), ", ")
+            .alias("first_keys")).filter(F.col("key_count") > 0).select(F.lit(kind).alias("problem"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def join_generation_weather(gen: DataFrame, wx: DataFrame, strict: bool = True) -> DataFrame:
