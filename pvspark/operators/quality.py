@@ -54,11 +54,16 @@ def gaps(df: DataFrame, block_hours: int = S.DEFAULT_BLOCK_HOURS) -> DataFrame:
 
 
 # ------------------------------------------------------------------ W4
-def missing_hours(df: DataFrame, block_hours: int = S.DEFAULT_BLOCK_HOURS) -> DataFrame:
+def previous_rows(df: DataFrame, block_hours: int = S.DEFAULT_BLOCK_HOURS, target: str = TARGET) -> DataFrame:
+    """One block-partitioned previous-row scan shared by W3-W6."""
+    return S.with_previous(df.select("site_id", "timestamp", target), [target], block_hours)
+
+
+def missing_hours(df: DataFrame, block_hours: int = S.DEFAULT_BLOCK_HOURS, prev: DataFrame | None = None) -> DataFrame:
     """Hourly grid points (anchored at each site's first timestamp) that
     have no observation.  Generated only inside gaps: a grid point is missing
     exactly when it lies strictly between two consecutive observations."""
-    p = S.with_previous(df.select("site_id", "timestamp"), [], block_hours)
+    p = prev if prev is not None else S.with_previous(df.select("site_id", "timestamp"), [], block_hours)
     anchor = df.groupBy("site_id").agg(F.min(F.unix_micros("timestamp")).alias("_a"))
     g = p.filter(F.col(S.US) - F.col("prev_us") > HOUR_US).join(anchor, "site_id")
     k0 = F.floor((F.col("prev_us") - F.col("_a")) / HOUR_US) + 1
@@ -69,10 +74,11 @@ def missing_hours(df: DataFrame, block_hours: int = S.DEFAULT_BLOCK_HOURS) -> Da
 
 # ------------------------------------------------------------------ W5
 def near_zero_runs(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
-                   block_hours: int = S.DEFAULT_BLOCK_HOURS, target: str = TARGET) -> DataFrame:
+                   block_hours: int = S.DEFAULT_BLOCK_HOURS, target: str = TARGET,
+                   prev: DataFrame | None = None) -> DataFrame:
     """Rows in runs of >= N adjacent (1 h apart) near-zero observations."""
     zero = F.col(target) <= th.near_zero_generation_kwh
-    p = S.with_previous(df.select("site_id", "timestamp", target), [target], block_hours)
+    p = prev if prev is not None else previous_rows(df, block_hours, target)
     prev_zero = F.col(f"prev_{target}") <= th.near_zero_generation_kwh
     adjacent = (F.col(S.US) - F.col("prev_us")) == HOUR_US
     starts = zero & ~F.coalesce(prev_zero & adjacent, F.lit(False))
@@ -84,12 +90,13 @@ def near_zero_runs(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
 
 # ------------------------------------------------------------------ W6
 def abrupt_changes(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
-                   block_hours: int = S.DEFAULT_BLOCK_HOURS, target: str = TARGET) -> DataFrame:
+                   block_hours: int = S.DEFAULT_BLOCK_HOURS, target: str = TARGET,
+                   prev: DataFrame | None = None) -> DataFrame:
     """|change| between 1-hour-adjacent rows above the site's Tukey upper fence.
 
     Fences need >= 4 changes and >= 2 distinct changes per site (IQR may be 0).
     """
-    p = S.with_previous(df.select("site_id", "timestamp", target), [target], block_hours)
+    p = prev if prev is not None else previous_rows(df, block_hours, target)
     change = F.when((F.col(S.US) - F.col("prev_us")) == HOUR_US, F.abs(F.col(target) - F.col(f"prev_{target}")))
     c = p.select("site_id", "timestamp", target, change.alias("change"))
     q = c.filter(F.col("change").isNotNull()).groupBy("site_id").agg(
@@ -166,14 +173,15 @@ def quality_flags(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
     """Q11: the full flag table (union of Q1-Q10)."""
     eps, lo, hi = th.near_zero_generation_kwh, th.low_irradiance_w_m2, th.high_irradiance_w_m2
     y = F.col(target)
+    prev = previous_rows(df, block_hours, target)
     parts = [
         _flags(df.filter((y > eps) & (F.col("ghi_w_m2") < lo)), "positive_generation_at_very_low_irradiance",
                target, y, f"Generation exceeds {_g(eps)} kWh while GHI is below {_g(lo)} W/m²."),
         _flags(df.filter((y <= eps) & (F.col("ghi_w_m2") >= hi)), "near_zero_generation_at_high_irradiance",
                target, y, f"Generation is at most {_g(eps)} kWh while GHI is at least {_g(hi)} W/m²."),
-        _flags(near_zero_runs(df, th, block_hours, target), "long_consecutive_near_zero_generation", target, y,
+        _flags(near_zero_runs(df, th, block_hours, target, prev), "long_consecutive_near_zero_generation", target, y,
                f"Part of an adjacent near-zero run lasting at least {th.consecutive_zero_hours} hours."),
-        _flags(missing_hours(df, block_hours), "missing_hourly_timestamp", "timestamp", None,
+        _flags(missing_hours(df, block_hours, prev), "missing_hourly_timestamp", "timestamp", None,
                "Expected hourly timestamp is absent; no record was inserted."),
     ]
     optional = [c for c in OPTIONAL if c in df.columns]
@@ -192,7 +200,7 @@ def quality_flags(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
     parts.append(outliers(df, th).select(
         "site_id", "timestamp", F.lit("extreme_value_iqr").alias("indicator"), "column", "value",
         F.format_string(f"Outside Tukey fences [%s, %s] using {_g(m)} × IQR.", "lower", "upper").alias("detail")))
-    parts.append(abrupt_changes(df, th, block_hours, target).select(
+    parts.append(abrupt_changes(df, th, block_hours, target, prev).select(
         "site_id", "timestamp", F.lit("abrupt_generation_change").alias("indicator"), F.lit(target).alias("column"),
         F.col(target).alias("value"),
         F.format_string("Absolute adjacent-hour change exceeds the Tukey upper fence %s kWh.", "upper_fence").alias("detail")))

@@ -91,7 +91,8 @@ def feature_job_sql(cfg: FeatureConfig = CFG):
 
 
 def _spark_features(spark, d, cfg=CFG, only_eligible=False):
-    h = fx.events_hourly(spark, d)
+    # Read by the split plan and the feature job: materialise once.
+    h = fx.materialized(fx.events_hourly(spark, d))
     plan = SP.plan_chronological_splits(h)
     return FE.build_features(h, fx.sites_for(h), cfg, split_plan=plan, only_eligible=only_eligible)
 

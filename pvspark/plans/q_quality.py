@@ -160,15 +160,15 @@ def _flags_sql(base_cte, num_cols, optional):
 
 @register("quality_flags", rnd_sql(_flags_sql(O.EVENTS_HOURLY, EV_NUM, list(OPTIONAL)) + "SELECT * FROM flags", ["value"]))
 def q_quality_flags(spark, d):
-    return rounded(Q.quality_flags(fx.events_hourly(spark, d)).drop("detail"))
+    return rounded(Q.quality_flags(fx.materialized(fx.events_hourly(spark, d))).drop("detail"))
 
 
 @register("quality_flags_orders", rnd_sql(_flags_sql(O.ORDERS_HOURLY, ORD_NUM, []) + "SELECT * FROM flags", ["value"]))
 def q_quality_flags_orders(spark, d):
-    return rounded(Q.quality_flags(fx.orders_hourly(spark, d)).drop("detail"))
+    return rounded(Q.quality_flags(fx.materialized(fx.orders_hourly(spark, d))).drop("detail"))
 
 
 @register("quality_flag_counts", _flags_sql(O.EVENTS_HOURLY, EV_NUM, list(OPTIONAL))
           + "SELECT indicator, count(*) AS flag_count FROM flags GROUP BY indicator")
 def q_flag_counts(spark, d):
-    return Q.flag_counts(Q.quality_flags(fx.events_hourly(spark, d)))
+    return Q.flag_counts(Q.quality_flags(fx.materialized(fx.events_hourly(spark, d))))

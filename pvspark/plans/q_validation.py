@@ -126,7 +126,8 @@ BASE = O.with_ctes(O.EVENTS_HOURLY, RAW)
 
 
 def _dirty(spark, d):
-    return fx.dirty_strings(fx.events_hourly(spark, d))
+    # The dirty table is read by every rule branch: materialise it once.
+    return fx.materialized(fx.dirty_strings(fx.materialized(fx.events_hourly(spark, d))))
 
 
 @register("hourly_validation_issues", BASE.rstrip() + "," + issues_sql("hourly", "dirty", VALUE_COLS) + "\nSELECT * FROM issues")

@@ -85,6 +85,13 @@ def orders_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_from_orders(read_table(spark, sf_dir, "orders"))
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The derived table written once to the shared checkpoint folder, for
+    jobs that read it many times (each branch then scans the written table)."""
+    from pvspark.session import cut_lineage
+    return cut_lineage(df)
+
+
 def site_number(site_id: Column) -> Column:
     return F.regexp_extract(site_id, r"(\d+)$", 1).cast("bigint")
 
