@@ -267,3 +267,8 @@ def readiness(df: DataFrame, thresholds: AnalysisThresholds = AnalysisThresholds
         "complete_daylight_records_present",
         F.when(F.col("_multi"), F.lit("multiple_sites")).otherwise(F.lit("single_site")).alias("site_scope"),
         F.array_join(lim, " | ").alias("major_limitations_before_training"))
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """Columns present with their types (schema-sized table, no data read)."""
+    return df.sparkSession.createDataFrame([(c, t) for c, t in df.dtypes], "column string, data_type string")

@@ -117,3 +117,17 @@ def test_registry_promotion_archives_previous_champion(spark):
     assert st["v2"]["previous_champion_version"] == "v1"
     assert "v3" not in st
     assert {r["problem"] for r in REG.registry_issues(ev).collect()} == {"promotion must be based on validation selection"}
+
+
+def test_categorical_most_frequent_and_unknown_all_zero(spark):
+    train = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 3.0, 3.0), (None, 4.0, 4.0)],
+                                  "c string, x double, ac_energy_kwh double")
+    prep = ML.fit_preprocessing(train, ["x"], scale=False, categorical=["c"])
+    assert "'a'" in prep.statement  # NULL filled with the most frequent value
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    model = Pipeline(stages=[SQLTransformer(statement=prep.statement), *prep.categorical_stages,
+                             VectorAssembler(inputCols=prep.feature_columns, outputCol="features")]).fit(train)
+    test = spark.createDataFrame([("zzz", 1.0, 0.0)], "c string, x double, ac_energy_kwh double")
+    vec = model.transform(test).first()["features"].toArray().tolist()
+    assert vec[1:] == [0.0, 0.0]
