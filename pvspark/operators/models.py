@@ -225,7 +225,9 @@ def tune(train_rows: DataFrame, members: DataFrame, predictors: list[str], candi
     from pvspark.operators.metrics import forecast_metrics
     spark = train_rows.sparkSession
     folds = sorted(r[0] for r in members.select("fold_number").distinct().collect())
-    keyed = train_rows.join(members, ["site_id", "timestamp"])
+    from pvspark.session import cut_lineage
+    # Every candidate x fold fit reads the fold rows: materialise them once.
+    keyed = cut_lineage(train_rows.join(members, ["site_id", "timestamp"]))
 
     def run(cand, fold):
         try:
@@ -260,39 +262,50 @@ def candidate_summary(fold_metrics: DataFrame, candidates: DataFrame) -> DataFra
 
 # ------------------------------------------------------------------ M13
 def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: list[str], repeats: int = 5,
-                           seed: int = 42, key: list[str] = ("site_id", "timestamp")) -> DataFrame:
+                           seed: int = 42, key: list[str] = ("site_id", "timestamp"),
+                           max_copies: int = 25) -> DataFrame:
     """Drop in negative MAE when one predictor is permuted (k repeats).
 
     Group g = (predictor, repeat).  Every row is copied once per group
     (``explode``, no join); in group g row i takes the predictor value of the
     row whose seeded-hash rank in g equals i.  All groups have exactly n rows,
     so one global rank over (g, hash) gives the within-group rank as
-    ``rank - g * n``.  One join, one ``transform`` and one ``groupBy`` score
-    every permuted copy.
+    ``rank - g * n``.  Predictors are processed in chunks so that one job
+    holds at most ``max_copies`` copies of the rows (the work is the same,
+    the intermediate stays bounded at 100 TB).
     """
     key = list(key)
     spark = rows.sparkSession
     base = rows.withColumn("_k", F.xxhash64(*key))
     ranked = global_rank(base, ["_k", *key], "_i").drop("_k")
     n = ranked.count()
-    groups = len(predictors) * repeats
     base_mae = predict(model, ranked, ["_i", TARGET]).agg(
         F.avg(F.abs(F.col("prediction") - F.col(TARGET)))).first()[0]
-    g = F.col("_g")
-    vals = F.array(*[F.col(p).cast("double") for p in predictors])
-    src = ranked.select("_i", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), vals.alias("_vals"))
-    src = src.select("_g", "_i", F.element_at("_vals", (g / repeats).cast("int") + 1).alias("_v"),
-                     F.xxhash64(F.lit(seed), g, "_i").alias("_h"))
-    src = global_rank(src, ["_g", "_h", "_i"], "_r").select("_g", (F.col("_r") - g * n).alias("_i"), "_v")
-    tgt = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    perm = tgt.join(src, ["_g", "_i"])
-    pidx = (g / repeats).cast("int")
-    perm = perm.select(*[F.when(pidx == k, F.col("_v")).otherwise(F.col(p).cast("double")).alias(p)
-                         for k, p in enumerate(predictors)],
-                       *[c for c in ranked.columns if c not in predictors], "_g")
-    scored = model.transform(perm).groupBy("_g").agg(F.avg(F.abs(F.col("prediction") - F.col(TARGET))).alias("_mae"))
-    names = F.element_at(F.array(*[F.lit(p) for p in predictors]), pidx + 1)
-    imp = scored.select(names.alias("predictor"), (F.col("_mae") - F.lit(base_mae)).alias("importance"))
+    chunk = max(1, max_copies // max(1, repeats))
+    results = []
+    for start in range(0, len(predictors), chunk):
+        part = predictors[start:start + chunk]
+        groups = len(part) * repeats
+        g = F.col("_g")
+        pidx = (g / repeats).cast("int")
+        vals = F.array(*[F.col(p).cast("double") for p in part])
+        src = ranked.select("_i", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"), vals.alias("_vals"))
+        # Global predictor index keeps the hash seeds independent of the chunking.
+        src = src.select("_g", "_i", F.element_at("_vals", pidx + 1).alias("_v"),
+                         F.xxhash64(F.lit(seed), pidx + start, g % repeats, "_i").alias("_h"))
+        src = global_rank(src, ["_g", "_h", "_i"], "_r").select("_g", (F.col("_r") - g * n).alias("_i"), "_v")
+        tgt = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+        perm = tgt.join(src, ["_g", "_i"])
+        perm = perm.select(*[F.when(pidx == k, F.col("_v")).otherwise(F.col(p).cast("double")).alias(p)
+                             for k, p in enumerate(part)],
+                           *[c for c in ranked.columns if c not in part], "_g")
+        scored = model.transform(perm).groupBy("_g").agg(
+            F.avg(F.abs(F.col("prediction") - F.col(TARGET))).alias("_mae"))
+        names = F.element_at(F.array(*[F.lit(p) for p in part]), pidx + 1)
+        results.append(scored.select(names.alias("predictor"), (F.col("_mae") - F.lit(base_mae)).alias("importance"))
+                       .collect())  # len(part) * repeats rows
+    flat = [(r["predictor"], float(r["importance"])) for rs in results for r in rs]
+    imp = spark.createDataFrame(flat, "predictor string, importance double")
     return imp.groupBy("predictor").agg(F.avg("importance").alias("importance_mean"),
                                         F.stddev_pop("importance").alias("importance_std"))
 
