@@ -54,11 +54,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         w.format(fmt).save(path)
 
 
+def write_canonical(df: DataFrame, path: str) -> None:
+    """Canonical hourly table: parquet partitioned by UTC month and clustered
+    by (site, time) inside each file, so period filters prune directories and
+    site/time predicates skip row groups."""
+    out = df.withColumn("month", F.date_format("timestamp", "yyyy-MM"))
+    # (month, site) groups hold at most one site-month of hours: no hot task.
+    (out.repartition("month", "site_id").sortWithinPartitions("site_id", "timestamp")
+        .write.mode("overwrite").partitionBy("month").parquet(path))
+
+
 def ingest_hourly_csv(spark: SparkSession, source: str, destination: str, fmt: str = "parquet") -> DataFrame:
     """S3: read -> validate (raises with every issue) -> write; nothing is
-    written when validation fails."""
+    written when validation fails.  Parquet output uses :func:`write_canonical`."""
     typed = R.validate_hourly(read_hourly_csv(spark, source))
-    write_table(typed, destination, fmt)
+    if fmt == "parquet":
+        write_canonical(typed, destination)
+    else:
+        write_table(typed, destination, fmt)
     return typed
 
 
