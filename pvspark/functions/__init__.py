@@ -35,26 +35,29 @@ def safe_ratio(num: str | Column, den: str | Column, eps: float) -> Column:
     return F.when(F.abs(d) > F.lit(eps), col(num) / d)
 
 
-def describe(x: Column) -> list[Column]:
-    """A1 descriptive measures; sample std is 0.0 for one value; all NULL when empty."""
+PERCENTILE_NAMES = ("percentile_05", "percentile_25", "percentile_50", "percentile_75", "percentile_95")
+
+
+def describe_moments(x: Column) -> list[Column]:
+    """A1 measures other than percentiles; sample std is 0.0 for one value;
+    all NULL when empty."""
     n = F.count(x)
-    pct = F.percentile(x, list(PERCENTILES))
     return [
         F.when(n > 0, n).alias("count"),
         F.min(x).alias("minimum"),
         F.max(x).alias("maximum"),
         F.avg(x).alias("mean"),
-        pct[2].alias("median"),
         F.when(n == 1, F.lit(0.0)).otherwise(F.stddev_samp(x)).alias("standard_deviation"),
-        pct[0].alias("percentile_05"),
-        pct[1].alias("percentile_25"),
-        pct[2].alias("percentile_50"),
-        pct[3].alias("percentile_75"),
-        pct[4].alias("percentile_95"),
         F.sum(x).alias("total"),
     ]
 
 
+def describe(x: Column) -> list[Column]:
+    """A1 measures with Spark's exact percentile (for small groups)."""
+    pct = F.percentile(x, list(PERCENTILES))
+    return describe_moments(x) + [pct[2].alias("median")] + [pct[i].alias(n) for i, n in enumerate(PERCENTILE_NAMES)]
+
+
 DESCRIBE_NAMES = ("count", "minimum", "maximum", "mean", "median", "standard_deviation",
                   "percentile_05", "percentile_25", "percentile_50", "percentile_75",
                   "percentile_95", "total")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.functions import is_finite
+from pvspark.functions.quantiles import exact_percentiles
 from pvspark.schema import TARGET
 
 
@@ -21,7 +22,6 @@ def metric_aggs(y: Column, p: Column, capacity: Column | None = None) -> list[Co
         F.count("*").alias("prediction_count"),
         F.avg(F.abs(e)).alias("_mae"),
         F.avg(e * e).alias("_mse"),
-        F.percentile(F.abs(e), 0.5).alias("median_absolute_error_kwh"),
         F.avg(e).alias("mean_bias_error_kwh"),
         F.sum(F.abs(e)).alias("_sae"),
         F.sum(y).alias("actual_total_energy_kwh"),
@@ -58,9 +58,20 @@ def finish_metrics(agg: DataFrame, full_row_count: Column | None = None) -> Data
 
 def forecast_metrics(df: DataFrame, group_cols: list[str], y: str = TARGET, p: str = "prediction",
                      capacity: str | None = None, full_row_count: Column | None = None) -> DataFrame:
-    """A21 per group (e.g. per model); A22 when ``site_id`` is a group column."""
+    """A21 per group (e.g. per model); A22 when ``site_id`` is a group column.
+
+    The median absolute error is an exact two-pass selection
+    (``functions.quantiles``), so no task holds a whole group's errors.
+    """
+    g = list(group_cols)
     cap = F.col(capacity) if capacity else None
-    agg = df.groupBy(*group_cols).agg(*metric_aggs(F.col(y), F.col(p), cap))
+    agg = df.groupBy(*g).agg(*metric_aggs(F.col(y), F.col(p), cap))
+    ae = df.select(*g, F.abs(F.col(p) - F.col(y)).alias("_ae"))
+    med = exact_percentiles(ae, g, "_ae", [0.5], ["median_absolute_error_kwh"])
+    if g:
+        agg = agg.join(med, g, "left")
+    else:  # one global row: a scalar subquery, not a join
+        agg = agg.withColumn("median_absolute_error_kwh", med.select("median_absolute_error_kwh").scalar())
     return finish_metrics(agg, full_row_count)
 
 

@@ -78,10 +78,13 @@ def fit_preprocessing(train: DataFrame, numeric: list[str], *, scale: bool,
     aggs = []
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
-        aggs += [F.percentile(x, 0.5).alias(f"m{i}"), F.count_if(x.isNull()).alias(f"n{i}")]
+        aggs.append(F.count_if(x.isNull()).alias(f"n{i}"))
     for j, c in enumerate(categorical):
         aggs.append(F.mode(F.col(c), deterministic=True).alias(f"c{j}"))
-    st = train.agg(*aggs).first() if aggs else None
+    st = train.agg(*aggs).first().asDict() if aggs else {}
+    if numeric:  # exact medians by two-pass selection (one row per column)
+        for r in imputation_table(train, numeric).collect():
+            st[f"m{numeric.index(r['feature'])}"] = r["median"]
     exprs, names, dropped, indicators = [], [], [], []
     for i, c in enumerate(numeric):
         med, nnull = st[f"m{i}"], st[f"n{i}"]
@@ -237,7 +240,7 @@ def tune(train_rows: DataFrame, members: DataFrame, predictors: list[str], candi
             pr = predict(m, va, ["site_id", "timestamp", TARGET])
             if cfg.clip_negative_predictions:
                 pr = pr.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
-            r = forecast_metrics(pr.withColumn("g", F.lit(1)), ["g"]).first()
+            r = forecast_metrics(pr, []).first()
             return (cand["candidate_id"], fold, "succeeded", float(r["mae_kwh"]), float(r["rmse_kwh"]), None)
         except Exception as exc:  # recorded, not fatal
             return (cand["candidate_id"], fold, "failed", None, None, f"{type(exc).__name__}: {exc}"[:500])
@@ -360,8 +363,14 @@ def canonical_json(params: dict) -> str:
 
 
 def imputation_table(train: DataFrame, numeric: list[str]) -> DataFrame:
-    """M1 statistics as a table: exact training median and NULL count per column."""
-    agg = train.agg(*[F.struct(F.lit(c).alias("feature"), F.percentile(F.col(c).cast("double"), 0.5).alias("median"),
-                               F.count_if(F.col(c).isNull()).alias("train_missing_count")).alias(f"s{i}")
-                      for i, c in enumerate(numeric)])
-    return agg.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(numeric))])).alias("s")).select("s.*")
+    """M1 statistics as a table: exact training median and NULL count per column.
+
+    Columns are unpivoted to (feature, value); medians use the two-pass exact
+    selection, NULL counts one aggregate."""
+    from pvspark.functions.quantiles import exact_percentiles
+    long = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in numeric])).alias("s")
+    ).select("s.*")
+    nulls = long.groupBy("feature").agg(F.count_if(F.col("v").isNull()).alias("train_missing_count"))
+    med = exact_percentiles(long, ["feature"], "v", [0.5], ["median"])
+    return nulls.join(med, "feature", "left").select("feature", "median", "train_missing_count")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pvspark.functions import describe, hours_between
+from pvspark.functions import DESCRIBE_NAMES, PERCENTILE_NAMES, PERCENTILES, describe_moments, hours_between
+from pvspark.functions.quantiles import exact_percentiles
 from pvspark.operators.config import AnalysisThresholds
 from pvspark.schema import OPTIONAL, TARGET, WEATHER_COLUMNS
 
@@ -25,15 +26,32 @@ def _level(g: str = "_g"):
     return F.when(F.col(g) == 1, F.lit("overall")).otherwise(F.lit("site")).alias("level")
 
 
+def _with_percentiles(base: DataFrame, long: DataFrame, key: str) -> DataFrame:
+    """Join exact percentiles (two-pass selection per ``key``) onto ``base``."""
+    pct = exact_percentiles(long, [key], "value", list(PERCENTILES), list(PERCENTILE_NAMES))
+    out = base.join(pct, key, "left").withColumn("median", F.col("percentile_50"))
+    return out
+
+
 def target_summary(df: DataFrame, target: str = TARGET) -> DataFrame:
-    """A1/A2: descriptive measures of the target overall and per site (one scan)."""
+    """A1/A2: descriptive measures of the target overall and per site.
+
+    Moments come from one ROLLUP; percentiles from the exact two-pass
+    selection over the rows keyed once per level (site, and overall).
+    """
     y = F.col(target)
     agg = df.rollup("site_id").agg(
-        *describe(y),
+        *describe_moments(y),
         (F.count_if(y == 0) / F.count("*") * 100).alias("zero_generation_percentage"),
         F.grouping("site_id").alias("_g"),
     )
-    return agg.select(_level(), "site_id", *[c for c in agg.columns if c not in ("site_id", "_g")]) \
+    agg = agg.withColumn("_key", F.when(F.col("_g") == 1, F.lit(None).cast("string")).otherwise(F.col("site_id")))
+    overall = "\u0000overall"
+    agg = agg.withColumn("_key", F.coalesce(F.col("_key"), F.lit(overall)))
+    long = df.select(F.explode(F.array(F.col("site_id"), F.lit(overall))).alias("_key"), y.cast("double").alias("value"))
+    out = _with_percentiles(agg, long, "_key")
+    cols = [c if c != "total" else "total" for c in DESCRIBE_NAMES]
+    return out.select(_level(), "site_id", *cols, "zero_generation_percentage") \
         .withColumnRenamed("total", "total_generated_energy_kwh")
 
 
@@ -43,7 +61,8 @@ def weather_summary(df: DataFrame) -> DataFrame:
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in present
     ])).alias("kv")).select("kv.column", "kv.value")
-    return long.groupBy("column").agg(*describe(F.col("value")))
+    base = long.groupBy("column").agg(*describe_moments(F.col("value")))
+    return _with_percentiles(base, long, "column").select("column", *DESCRIBE_NAMES)
 
 
 def _by_levels(df: DataFrame, key, key_name: str, *aggs) -> DataFrame:

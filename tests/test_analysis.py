@@ -98,3 +98,25 @@ def test_rolling_origin_folds(spark):
     assert m.filter("fold_number = 1 AND role = 'validation'").count() == 6
     with pytest.raises(ValueError, match="insufficient"):
         SP.rolling_origin_folds(df, SP.FoldSpec(5, 24, 240, 72))
+
+
+def test_exact_percentiles_match_spark_percentile(spark):
+    import numpy as np
+    from pvspark.functions.quantiles import exact_percentiles
+    rng = np.random.default_rng(1)
+    rows = [(f"g{i % 3}", float(v)) for i, v in enumerate(rng.normal(size=3000))] + [("g0", 0.0)] * 500 + [("g3", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    got = {r["g"]: [r[f"p{i}"] for i in range(5)] for r in exact_percentiles(df, ["g"], "v", probs, accuracy=50).collect()}
+    # accuracy=50: groups above 200 rows take the band path, g3 (1 row) the exact path
+    ref = {r["g"]: list(r["q"]) for r in df.groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
+    assert set(got) == set(ref)
+    for k in ref:
+        assert got[k] == pytest.approx(ref[k], abs=1e-12)
+    one = exact_percentiles(df, [], "v", [0.5, 0.75], accuracy=100).first()
+    assert [one["p0"], one["p1"]] == pytest.approx(list(df.agg(F.percentile("v", [0.5, 0.75])).first()[0]), abs=1e-12)
+    small = spark.createDataFrame([("a", float(v)) for v in range(694)], "g string, v double")
+    for acc in (50, 10_000):
+        r = exact_percentiles(small, ["g"], "v", probs, accuracy=acc).first()
+        assert [r[f"p{i}"] for i in range(5)] == pytest.approx(
+            list(small.agg(F.percentile("v", probs)).first()[0]), abs=1e-12)
