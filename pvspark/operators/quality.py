@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pvspark.functions import hours_between
+from pvspark.functions.quantiles import exact_percentiles
 from pvspark.operators import sequence as S
 from pvspark.operators.config import AnalysisThresholds
 from pvspark.schema import HOUR_US, NUMERIC, OPTIONAL, TARGET
@@ -99,11 +100,11 @@ def abrupt_changes(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
     p = prev if prev is not None else previous_rows(df, block_hours, target)
     change = F.when((F.col(S.US) - F.col("prev_us")) == HOUR_US, F.abs(F.col(target) - F.col(f"prev_{target}")))
     c = p.select("site_id", "timestamp", target, change.alias("change"))
-    q = c.filter(F.col("change").isNotNull()).groupBy("site_id").agg(
-        F.count("*").alias("n"), F.min("change").alias("c0"), F.max("change").alias("c1"),
-        F.percentile("change", [0.25, 0.75]).alias("q"))
-    fences = q.filter((F.col("n") >= 4) & (F.col("c0") < F.col("c1"))).select(
-        "site_id", (F.col("q")[1] + th.outlier_iqr_multiplier * (F.col("q")[1] - F.col("q")[0])).alias("upper_fence"))
+    ok = c.filter(F.col("change").isNotNull())
+    q = ok.groupBy("site_id").agg(F.count("*").alias("n"), F.min("change").alias("c0"), F.max("change").alias("c1"))
+    quart = exact_percentiles(ok, ["site_id"], "change", [0.25, 0.75], ["q1", "q3"])  # hot sites split
+    fences = q.filter((F.col("n") >= 4) & (F.col("c0") < F.col("c1"))).join(quart, "site_id").select(
+        "site_id", (F.col("q3") + th.outlier_iqr_multiplier * (F.col("q3") - F.col("q1"))).alias("upper_fence"))
     return c.join(fences, "site_id").filter(F.col("change") > F.col("upper_fence"))
 
 
@@ -122,20 +123,20 @@ def constant_columns(df: DataFrame) -> DataFrame:
 def iqr_fences(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds()) -> DataFrame:
     """Global Tukey fences per numeric column (all sites together).
 
-    Values are first counted per (column, value) so the exact percentile runs
-    over distinct values with a frequency weight.
+    Quartiles use the two-pass exact selection (a column over all rows is the
+    largest group in the library); "at least two distinct values" is
+    ``min < max``.
     """
     present = [c for c in NUMERIC if c in df.columns]
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in present
     ])).alias("kv")).select("kv.*").filter(F.col("v").isNotNull())
-    freq = long.groupBy("column", "v").agg(F.count("*").alias("w"))
-    q = freq.groupBy("column").agg(F.count("*").alias("distinct"),
-                                   F.percentile("v", [0.25, 0.75], F.col("w")).alias("q"))
-    iqr = F.col("q")[1] - F.col("q")[0]
+    span = long.groupBy("column").agg(F.min("v").alias("v0"), F.max("v").alias("v1"))
+    q = span.join(exact_percentiles(long, ["column"], "v", [0.25, 0.75], ["q1", "q3"]), "column")
+    iqr = F.col("q3") - F.col("q1")
     m = th.outlier_iqr_multiplier
-    return q.filter((F.col("distinct") >= 2) & (iqr > 0)).select(
-        "column", (F.col("q")[0] - m * iqr).alias("lower"), (F.col("q")[1] + m * iqr).alias("upper"))
+    return q.filter((F.col("v0") < F.col("v1")) & (iqr > 0)).select(
+        "column", (F.col("q1") - m * iqr).alias("lower"), (F.col("q3") + m * iqr).alias("upper"))
 
 
 def outliers(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds()) -> DataFrame:
