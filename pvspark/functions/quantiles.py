@@ -41,13 +41,16 @@ def exact_percentiles(df: DataFrame, group_cols: list[str], value: str, probs: l
     bprobs = []
     for p in probs:
         bprobs += [max(0.0, p - margin), min(1.0, p + margin)]
-    st = d.groupBy(*key).agg(F.count("*").alias("_n"),
-                             F.percentile_approx("_v", bprobs, accuracy).alias("_b"))
+    # A cheap count per group decides the path; the sketch runs on large groups only.
     small_limit = 4 * accuracy
-    small = (d.join(st.filter(F.col("_n") <= small_limit).select(*key), key, "left_semi")
+    counts = d.groupBy(*key).agg(F.count("*").alias("_n"))
+    small = (d.join(counts.filter(F.col("_n") <= small_limit).select(*key), key, "left_semi")
               .groupBy(*key).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q")))
     small = small.select(*key, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    st = st.filter(F.col("_n") > small_limit)
+    big = d.join(counts.filter(F.col("_n") > small_limit).select(*key), key, "left_semi")
+    st = big.groupBy(*key).agg(F.count("*").alias("_n"),
+                               F.percentile_approx("_v", bprobs, accuracy).alias("_b"))
+    d = big
     items = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
                       F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi")) for i, p in enumerate(probs)]
     ex = d.join(st, key).select(*key, "_v", "_n", F.explode(F.array(*items)).alias("_q")).select(
