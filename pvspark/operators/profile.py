@@ -202,24 +202,24 @@ def correlations(df: DataFrame, target: str = TARGET) -> DataFrame:
 def correlation_matrix(df: DataFrame, target: str = TARGET) -> DataFrame:
     """Pairwise-complete Pearson matrix over the target and usable columns.
 
-    All pairs come from one global aggregate; the usable set (at most the ten
-    weather columns, a schema-bounded table) filters the long result.  Empty
+    Each row is exploded into the (a, b) column pairs where both values are
+    present, and one ``groupBy(a, b)`` (map-side combined) gives covariance
+    and standard deviations per pair.  The usable set (at most the ten
+    weather columns, a schema-bounded table) filters the result; it is empty
     when no weather column is usable.
     """
     usable = correlations(df, target).filter(F.col("availability") == "available") \
         .select(F.col("weather_variable").alias("v"))
     present = [target] + [c for c in WEATHER_COLUMNS if c in df.columns]
     pairs = [(a, b) for i, a in enumerate(present) for b in present[i:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        xa = F.when(F.col(b).isNotNull(), F.col(a))
-        xb = F.when(F.col(a).isNotNull(), F.col(b))
-        r = F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb))
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r")).alias(f"p{i}"))
-    long = df.agg(*aggs).select(
-        F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")).select("p.*")
-    both = long.unionByName(long.filter(F.col("a") != F.col("b"))
-                            .select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    items = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(),
+                    F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"),
+                             F.col(b).cast("double").alias("y"))) for a, b in pairs]
+    long = df.select(F.explode(F.array_compact(F.array(*items))).alias("p")).select("p.*")
+    stats = long.groupBy("a", "b").agg(
+        F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("r"))
+    both = stats.select("a", "b", "r").unionByName(
+        stats.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
     ok = F.broadcast(usable.unionByName(df.sparkSession.createDataFrame([(target,)], "v string")))
     out = (both.join(ok.withColumnRenamed("v", "a"), "a", "left_semi")
                .join(ok.withColumnRenamed("v", "b"), "b", "left_semi"))
