@@ -218,8 +218,11 @@ def correlation_matrix(df: DataFrame, target: str = TARGET) -> DataFrame:
     long = df.select(F.explode(F.array_compact(F.array(*items))).alias("p")).select("p.*")
     stats = long.groupBy("a", "b").agg(
         F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y")).alias("r"))
-    both = stats.select("a", "b", "r").unionByName(
-        stats.filter(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    # Both orientations from the (small) result in one pass: no second aggregate.
+    both = stats.select(F.explode(F.array_compact(F.array(
+        F.struct("a", "b", "r"),
+        F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))))).alias("m")
+    ).select("m.*")
     ok = F.broadcast(usable.unionByName(df.sparkSession.createDataFrame([(target,)], "v string")))
     out = (both.join(ok.withColumnRenamed("v", "a"), "a", "left_semi")
                .join(ok.withColumnRenamed("v", "b"), "b", "left_semi"))
