@@ -75,7 +75,7 @@ def gram(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]  # ~ orders downward without overflow
 
 
 def search_cell(q_ids, q, ids, v, rotation: np.ndarray, lead: int, k: int, floor: np.ndarray):
