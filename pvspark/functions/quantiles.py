@@ -1,23 +1,23 @@
 """Exact percentiles without one task holding a whole group.
 
-Spark's exact ``percentile`` merges a value -> count map per group in one
-task, which is unbounded for large groups of continuous values (errors,
-engineered predictors).  This two-pass selection keeps every step bounded:
+Spark's exact ``percentile`` merges a value -> count map per group in one task,
+which is unbounded for large groups of continuous values.  One path serves
+groups of every size:
 
-1. per group: row count and ``percentile_approx`` bounds just below and
-   above each target rank (rank error <= n / accuracy, so the band
-   [lo, hi] is guaranteed to contain the target order statistics);
-2. rows below the band are counted and band values are counted per
-   distinct value (both partially aggregated), so a group contributes at
-   most about ``4 n / accuracy`` distinct values;
-3. a running count over the band's distinct values picks the order
-   statistics; the result interpolates like Spark's ``percentile``:
+1. the keyed values are written once; every later step reads that table;
+2. per group: the row count, and ``percentile_approx`` bounds a margin below
+   and above each probability, computed once and written;
+3. per group and probability: the rows below the band, and the nearest values
+   outside it, in one partial aggregate; the band's rows are counted per
+   distinct value, at most about ``4 n / accuracy`` values a band;
+4. a running count over the band's values picks the order statistics, and the
+   result interpolates like Spark's ``percentile``:
    ``(higher - pos) * v_lo + (pos - lower) * v_hi`` with ``pos = p (n - 1)``.
 
-The band margin ``2 / accuracy`` covers the sketch's rank error plus the
-+-1 rank between ``p n`` and ``p (n - 1)`` only when ``n >= 2 accuracy``;
-groups with at most ``4 accuracy`` rows (a bounded size) use Spark's exact
-``percentile`` directly.
+The margin ``2 / accuracy`` covers the sketch's rank error (``n / accuracy``).
+In groups below ``accuracy`` rows the sketch is exact, and a bound can be off
+by the one rank between ``p n`` and ``p (n - 1)``: the nearest value outside
+the band is then the order statistic.
 """
 
 from __future__ import annotations
@@ -25,51 +25,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pvspark.session import cut_lineage
+
 DEFAULT_ACCURACY = 10_000
 
 
 def exact_percentiles(df: DataFrame, group_cols: list[str], value: str, probs: list[float],
                       names: list[str] | None = None, accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """``group_cols`` + one column per probability (NULL for groups without values)."""
+    """``group_cols`` + one column per probability; groups without values are absent."""
     names = names or [f"p{i}" for i in range(len(probs))]
     g = list(group_cols)
     key = g if g else ["_one"]
     d = df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     if not g:
         d = d.withColumn("_one", F.lit(1))
+    d = cut_lineage(d)
     margin = 2.0 / accuracy
-    bprobs = []
-    for p in probs:
-        bprobs += [max(0.0, p - margin), min(1.0, p + margin)]
-    # A cheap count per group decides the path; the sketch runs on large groups only.
-    small_limit = 4 * accuracy
-    counts = d.groupBy(*key).agg(F.count("*").alias("_n"))
-    small = (d.join(counts.filter(F.col("_n") <= small_limit).select(*key), key, "left_semi")
-              .groupBy(*key).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q")))
-    small = small.select(*key, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    big = d.join(counts.filter(F.col("_n") > small_limit).select(*key), key, "left_semi")
-    st = big.groupBy(*key).agg(F.count("*").alias("_n"),
-                               F.percentile_approx("_v", bprobs, accuracy).alias("_b"))
-    d = big
-    items = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-                      F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi")) for i, p in enumerate(probs)]
-    ex = d.join(st, key).select(*key, "_v", "_n", F.explode(F.array(*items)).alias("_q")).select(
-        *key, "_v", "_n", "_q.i", "_q.p", "_q.lo", "_q.hi")
-    below = ex.filter(F.col("_v") < F.col("lo")).groupBy(*key, "i").agg(F.count("*").alias("_below"))
-    band = (ex.filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-              .groupBy(*key, "i", "p", "_n", "_v").agg(F.count("*").alias("_c")))
-    band = band.join(below, [*key, "i"], "left").withColumn("_below", F.coalesce("_below", F.lit(0)))
-    w = Window.partitionBy(*key, "i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    band = band.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
-    pos = F.col("p") * (F.col("_n") - 1)
-    r0, r1 = F.floor(pos), F.ceil(pos)
-    picked = band.groupBy(*key, "i", "p", "_n").agg(
-        F.min(F.when(F.col("_cum") > r0, F.col("_v"))).alias("_vlo"),
-        F.min(F.when(F.col("_cum") > r1, F.col("_v"))).alias("_vhi"))
-    pos, r0, r1 = F.col("p") * (F.col("_n") - 1), F.floor(F.col("p") * (F.col("_n") - 1)), F.ceil(F.col("p") * (F.col("_n") - 1))
-    val = (F.when((r0 == r1) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo"))
-           .otherwise((r1 - pos) * F.col("_vlo") + (pos - r0) * F.col("_vhi")))
-    res = picked.select(*key, "i", val.alias("_val"))
-    wide = res.groupBy(*key).agg(*[F.max(F.when(F.col("i") == i, F.col("_val"))).alias(n) for i, n in enumerate(names)])
-    out = small.unionByName(wide)
-    return out.drop("_one") if not g else out
+    bounds = [b for p in probs for b in (max(0.0, p - margin), min(1.0, p + margin))]
+    st = cut_lineage(d.groupBy(*key).agg(F.count("*").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b")))
+    # Null-safe on the key: a null group is a group.
+    on = None
+    for k in key:
+        same = F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
+        on = same if on is None else on & same
+    rows = d.alias("d").join(st.alias("s"), on).select(*[F.col(f"d.{k}") for k in key], "_v", "_n", "_b")
+    lo, hi = (lambda i: F.col("_b")[2 * i]), (lambda i: F.col("_b")[2 * i + 1])
+    v, every = F.col("_v"), range(len(probs))
+    outside = rows.groupBy(*key).agg(*[a for i in every for a in (
+        F.count_if(v < lo(i)).alias(f"_below{i}"), F.max(F.when(v < lo(i), v)).alias(f"_prev{i}"),
+        F.min(F.when(v > hi(i), v)).alias(f"_next{i}"))])
+    inside = F.array_compact(F.array(*[F.when((v >= lo(i)) & (v <= hi(i)), F.lit(i)) for i in every]))
+    band = rows.select(*key, "_n", "_v", F.explode(inside).alias("_i")).groupBy(*key, "_n", "_i", "_v").agg(
+        F.count("*").alias("_c"))
+    w = Window.partitionBy(*key, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    band = band.withColumn("_cum", F.sum("_c").over(w))
+    on = None
+    for k in key:
+        same = F.col(f"b.{k}").eqNullSafe(F.col(f"o.{k}"))
+        on = same if on is None else on & same
+    both = band.alias("b").join(outside.alias("o"), on).select(*[F.col(f"b.{k}") for k in key], "_n", "_i", "_v", "_cum",
+                                                               *[f"_{x}{i}" for i in every for x in ("below", "prev", "next")])
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        reached = F.col(f"_below{i}") + F.col("_cum")
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.min(F.when((F.col("_i") == i) & (reached > rank), F.col("_v"))).alias(f"_{side}{i}"))
+        aggs += [F.max(f"_{x}{i}").alias(f"_{x}{i}") for x in ("below", "prev", "next")]
+    picked = both.groupBy(*key, "_n").agg(*aggs)
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        r0, r1 = F.floor(pos), F.ceil(pos)
+        a, b = (F.when(r < F.col(f"_below{i}"), F.col(f"_prev{i}")).otherwise(
+            F.coalesce(F.col(f"_{side}{i}"), F.col(f"_next{i}"))) for side, r in (("lo", r0), ("hi", r1)))
+        out.append(F.when((r0 == r1) | (a == b), a).otherwise((r1 - pos) * a + (pos - r0) * b).alias(name))
+    return picked.select(*g, *out)

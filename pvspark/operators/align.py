@@ -20,17 +20,6 @@ class DatasetJoinError(ValueError):
     pass
 
 
-def size_checked_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows; beyond the bound the plain
-    DataFrame is returned and Spark plans a shuffle join (AQE may still
-    broadcast at runtime under its own byte threshold).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def unmatched_generation(gen: DataFrame, wx: DataFrame) -> DataFrame:
     """Generation keys without a weather row."""
     return gen.select(*JOIN_KEYS).join(wx.select(*JOIN_KEYS), JOIN_KEYS, "left_anti")
@@ -103,19 +92,13 @@ def join_generation_weather(gen: DataFrame, wx: DataFrame, strict: bool = True)
     return joined.select(*[c for c in CANONICAL if c in joined.columns])
 
 
-def with_site_attributes(df: DataFrame, sites: DataFrame, fields: list[str],
-                         max_broadcast_rows: int | None = None) -> DataFrame:
+def with_site_attributes(df: DataFrame, sites: DataFrame, fields: list[str]) -> DataFrame:
     """Site attribute lookup (left join on site_id).
 
-    By default the join is planned normally and AQE's runtime size check turns
-    it into a broadcast hash join when the site table is small (no extra job).
-    With ``max_broadcast_rows`` the site table is counted (bounded read) and
-    broadcast explicitly when it has at most that many rows.
+    The join is planned normally; AQE turns it into a broadcast join where the
+    site table's measured bytes are below Spark's threshold.
     """
-    small = sites.select("site_id", *fields)
-    if max_broadcast_rows is not None:
-        small = size_checked_broadcast(small, max_broadcast_rows)
-    return df.join(small, "site_id", "left")
+    return df.join(sites.select("site_id", *fields), "site_id", "left")
 
 
 def label_periods(df: DataFrame, periods: list[tuple[str, object, object]], col: str = "split") -> DataFrame:

@@ -9,14 +9,20 @@ from pvspark.schema import TARGET, WEATHER_COLUMNS
 
 
 def daily_energy_pivot(df: DataFrame, target: str = TARGET) -> DataFrame:
-    """Day x site energy totals, missing combinations filled with 0.
+    """Energy of every site on every day of the table, 0 where it has no row.
 
-    One column per site: the site list is collected (one value per site) so
-    the pivot does not need a second discovery job.
+    Long form (day, site_id, energy): each site's days come from a sequence
+    between the table's first and last day, kept where any site has rows, so
+    no list of sites passes through the driver.
     """
-    sites = [r[0] for r in df.select("site_id").distinct().orderBy("site_id").collect()]
-    p = df.groupBy(F.date_trunc("day", "timestamp").alias("day")).pivot("site_id", sites).agg(F.sum(target))
-    return p.na.fill(0.0, subset=sites)
+    day = F.date_trunc("day", "timestamp")
+    daily = df.groupBy(day.alias("day"), "site_id").agg(F.sum(target).alias("energy"))
+    span = df.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    sites = df.select("site_id").distinct().select("site_id", F.explode(F.sequence(
+        span.select("first").scalar(), span.select("last").scalar(), F.expr("interval 1 day"))).alias("day"))
+    grid = sites.join(daily.select("day").distinct(), "day", "left_semi")
+    return grid.join(daily, ["day", "site_id"], "left").select(
+        "day", "site_id", F.coalesce("energy", F.lit(0.0)).alias("energy"))
 
 
 def histogram_bins(n_rows: Column, divisor: int) -> Column:

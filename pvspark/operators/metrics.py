@@ -76,10 +76,14 @@ def forecast_metrics(df: DataFrame, group_cols: list[str], y: str = TARGET, p: s
 
 
 def daylight_metrics(df: DataFrame, group_cols: list[str], y: str = TARGET, p: str = "prediction") -> DataFrame:
-    """Metrics on daylight rows; coverage relative to all rows of the group."""
+    """Metrics on daylight rows; coverage relative to all rows of the group.
+
+    A group without daylight rows, or a table without the flag, has null metrics.
+    """
     full = df.groupBy(*group_cols).agg(F.count("*").alias("_full"))
-    m = forecast_metrics(df.filter(F.col("is_daylight") == 1), group_cols, y, p)
-    return m.join(full, group_cols).withColumn(
+    flag = F.col("is_daylight") == 1 if "is_daylight" in df.columns else F.lit(False)
+    m = forecast_metrics(df.filter(flag), group_cols, y, p)
+    return full.join(m, group_cols, "left").withColumn(
         "prediction_coverage_pct", 100.0 * F.col("prediction_count") / F.col("_full")).drop("_full")
 
 
@@ -159,27 +163,42 @@ def cumulative_energy(report: DataFrame, group_cols: list[str] = ("model_identif
 
 # ------------------------------------------------------------------ A24
 def g_format(c: Column) -> Column:
-    """Python ``{x:g}`` for values needing <= 6 significant digits and
-    |x| < 1e6 (the cohort thresholds of hourly weather data)."""
-    s = c.cast("decimal(24,6)").cast("string")
-    s = F.regexp_replace(s, r"(\.\d*?)0+$", "$1")
-    return F.regexp_replace(s, r"\.$", "")
+    """Python ``{x:g}``: six significant digits without trailing zeros."""
+    x = c.cast("double")
+    power = lambda e: F.pow(F.lit(10.0), e)
+    e = F.floor(F.log10(F.abs(x)))
+    digits = F.bround(x / power(e), 5)  # rounding can reach the next power of ten
+    e, digits = F.when(F.abs(digits) >= 10, e + 1).otherwise(e), F.when(F.abs(digits) >= 10, digits / 10).otherwise(digits)
+
+    def strip(s: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    exponent = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    fixed = strip((digits * power(e)).cast("decimal(24,10)").cast("string"))
+    scientific = F.concat(strip(digits.cast("decimal(12,5)").cast("string")), F.lit("e"), exponent)
+    return F.when(x == 0, "0").when((e < -4) | (e >= 6), scientific).otherwise(fixed)
 
 
 def robustness(df: DataFrame, y: str = TARGET, p: str = "prediction", group_cols: list[str] = ()) -> DataFrame:
     """Metrics per descriptive cohort in one pass.
 
     Thresholds (medians of GHI and cloud cover, terciles of positive targets)
-    come from one aggregate; each row is exploded into every cohort it
+    come from the exact selection; cohorts of absent columns are left out; each row is exploded into every cohort it
     belongs to and a single ``groupBy`` computes all cohort metrics.
     """
     g = list(group_cols)
-    th = df.groupBy(*g).agg(
-        F.percentile(F.when(is_finite(F.col("ghi_w_m2")), F.col("ghi_w_m2")), 0.5).alias("_ghi_med"),
-        F.percentile(F.when(is_finite(F.col("cloud_cover_pct")), F.col("cloud_cover_pct")), 0.5).alias("_cc_med"),
-        F.percentile(F.when(F.col(y) > 0, F.col(y)), [1 / 3, 2 / 3]).alias("_terc"))
+    has = set(df.columns)
+    number = {"ghi": "ghi_w_m2", "cc": "cloud_cover_pct"}
+    kinds = [F.struct(F.lit(k).alias("kind"), F.when(is_finite(F.col(c)), F.col(c).cast("double")).alias("v"))
+             for k, c in number.items() if c in has]
+    kinds.append(F.struct(F.lit("y").alias("kind"), F.when(F.col(y) > 0, F.col(y).cast("double")).alias("v")))
+    values = df.select(*g, F.explode(F.array(*kinds)).alias("_k")).select(*g, "_k.kind", "_k.v")
+    cut = exact_percentiles(values, [*g, "kind"], "v", [1 / 3, 0.5, 2 / 3], ["a", "b", "c"])
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    third = F.when(of("y", "a").isNotNull(), F.array(of("y", "a"), of("y", "c")))
+    th = cut.groupBy(*g).agg(of("ghi", "b").alias("_ghi_med"), of("cc", "b").alias("_cc_med"), third.alias("_terc"))
     if g:
-        rows = df.join(th, g, "inner")
+        rows = df.join(th, g, "left")
     else:  # one threshold row: a scalar subquery per threshold, no join
         rows = df.withColumns({k: th.select(k).scalar() for k in ("_ghi_med", "_cc_med", "_terc")})
     ts = F.col("timestamp")
@@ -190,6 +209,9 @@ def robustness(df: DataFrame, y: str = TARGET, p: str = "prediction", group_cols
 
     ghi, cc, tgt = F.col("ghi_w_m2"), F.col("cloud_cover_pct"), F.col(y)
     lo, hi = F.col("_terc")[0], F.col("_terc")[1]
+    absent = {"is_daylight": ("daylight",), "ghi_w_m2": ("irradiance",), "cloud_cover_pct": ("cloud_cover",)}
+    skip = {t for col, types in absent.items() if col not in has for t in types}
+    rows = rows.withColumns({col: F.lit(None).cast("double") for col in absent if col not in has})
     items = [
         c("site", F.col("site_id")),
         c("utc_hour", F.hour(ts)),
@@ -206,6 +228,6 @@ def robustness(df: DataFrame, y: str = TARGET, p: str = "prediction", group_cols
         c("target_magnitude", F.lit("high"), tgt > hi),
     ]
     ex = rows.select(*g, y, p, F.explode(F.array_compact(F.array(*items))).alias("_c")).select(
-        *g, y, p, "_c.cohort_type", "_c.cohort_value")
+        *g, y, p, "_c.cohort_type", "_c.cohort_value").filter(~F.col("cohort_type").isin(*skip) if skip else F.lit(True))
     m = forecast_metrics(ex, [*g, "cohort_type", "cohort_value"], y, p)
     return m.withColumn("small_cohort", F.col("prediction_count") < 30)

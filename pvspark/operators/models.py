@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pvspark.schema import TARGET
+from pvspark.session import cut_lineage
 
 MODEL_IDS = ("persistence", "dummy_mean", "ridge", "random_forest", "histogram_gradient_boosting")
 
@@ -125,8 +126,10 @@ def _estimator(model_id: str, cfg: TrainingConfig, train: DataFrame, params: dic
         return LinearRegression(featuresCol="features", labelCol=TARGET, solver="normal", standardization=False,
                                 elasticNetParam=0.0, regParam=reg, fitIntercept=True)
     if model_id == "random_forest":
+        if cfg.random_forest_max_depth > 30:
+            raise ValueError("random_forest_max_depth: Spark's trees have at most 30 levels")
         return RandomForestRegressor(featuresCol="features", labelCol=TARGET, numTrees=cfg.random_forest_estimators,
-                                     maxDepth=min(cfg.random_forest_max_depth, 30),
+                                     maxDepth=cfg.random_forest_max_depth,
                                      minInstancesPerNode=cfg.random_forest_min_samples_leaf,
                                      featureSubsetStrategy="all", seed=seed)
     if model_id == "histogram_gradient_boosting":
@@ -228,7 +231,6 @@ def tune(train_rows: DataFrame, members: DataFrame, predictors: list[str], candi
     from pvspark.operators.metrics import forecast_metrics
     spark = train_rows.sparkSession
     folds = sorted(r[0] for r in members.select("fold_number").distinct().collect())
-    from pvspark.session import cut_lineage
     # Every candidate x fold fit reads the fold rows: materialise them once.
     keyed = cut_lineage(train_rows.join(members, ["site_id", "timestamp"]))
 
@@ -243,7 +245,7 @@ def tune(train_rows: DataFrame, members: DataFrame, predictors: list[str], candi
             r = forecast_metrics(pr, []).first()
             return (cand["candidate_id"], fold, "succeeded", float(r["mae_kwh"]), float(r["rmse_kwh"]), None)
         except Exception as exc:  # recorded, not fatal
-            return (cand["candidate_id"], fold, "failed", None, None, f"{type(exc).__name__}: {exc}"[:500])
+            return (cand["candidate_id"], fold, "failed", None, None, f"{type(exc).__name__}: {exc}")
 
     jobs = [(c, f) for c in candidates for f in folds]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -314,21 +316,27 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
 
 
 def global_rank(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Dense 0-based rank by ``order`` without a single-partition window:
-    range-partitioned sort, per-partition counts (one row per partition)
-    turned into offsets, then ``offset + row_number`` inside each partition."""
+    """Dense 0-based rank by ``order`` without a single-partition window.
+
+    The range-partitioned, sorted table is written once, each row with its
+    partition and its position there; counts and ranks read that one table, so
+    they cannot disagree however the ranges were drawn.  ``order`` should tell
+    rows apart: ties get distinct ranks in no defined order.
+    """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    counts = sorted((r["_pid"], r["c"]) for r in s.groupBy("_pid").agg(F.count("*").alias("c")).collect())
-    offsets, acc = {}, 0
-    for pid, c in counts:
-        offsets[pid] = acc
-        acc += c
-    off = F.element_at(F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))]), F.col("_pid")) \
-        if offsets else F.lit(0)
-    w = Window.partitionBy("_pid").orderBy(*order)
-    return s.withColumn(name, (off + F.row_number().over(w) - 1).cast("long")).drop("_pid")
+    placed = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_at", F.monotonically_increasing_id()))
+    placed = cut_lineage(placed)
+    pid, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)  # layout of the id, as documented
+    counts = placed.groupBy(pid.alias("_pid")).agg((F.max(at) + 1).alias("c")).orderBy("_pid").collect()
+    offsets, acc = [], 0  # one row per partition
+    for r in counts:
+        offsets.append((r["_pid"], acc))
+        acc += r["c"]
+    offsets = spark.createDataFrame(offsets, "_pid long, _offset long")
+    return (placed.withColumn("_pid", pid).join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_offset") + at).drop("_pid", "_offset", "_at"))
 
 
 # ------------------------------------------------------------------ M14 / M15

@@ -12,15 +12,12 @@ from pvspark.plans.registry import register, rnd_sql, rounded
 from pvspark.schema import WEATHER_COLUMNS
 from pvspark.sources import fixtures as fx
 
-R9 = "round(round({x} * CAST(1000000000 AS DOUBLE)) / CAST(1000000000 AS DOUBLE) * CAST(1000000 AS DOUBLE)) / CAST(1000000 AS DOUBLE) + CAST(0 AS DOUBLE)"
-
-
-@register("daily_energy_pivot", O.with_ctes(O.EVENTS_HOURLY) + """, grid AS (
-   SELECT d.day, s.site_id FROM (SELECT DISTINCT date_trunc('day', timestamp) AS day FROM hourly) d,
-   (SELECT DISTINCT site_id FROM hourly) s),
-filled AS (SELECT g.day, g.site_id, coalesce(h.ac_energy_kwh, 0) AS y FROM grid g
-   LEFT JOIN hourly h ON h.site_id = g.site_id AND date_trunc('day', h.timestamp) = g.day)
-PIVOT filled ON site_id USING """ + R9.format(x="sum(y)") + " GROUP BY day")
+@register("daily_energy_pivot", rnd_sql(O.with_ctes(O.EVENTS_HOURLY) + """
+SELECT d.day, s.site_id, coalesce(sum(h.ac_energy_kwh), 0) AS energy
+FROM (SELECT DISTINCT date_trunc('day', timestamp) AS day FROM hourly) d
+CROSS JOIN (SELECT DISTINCT site_id FROM hourly) s
+LEFT JOIN hourly h ON h.site_id = s.site_id AND date_trunc('day', h.timestamp) = d.day
+GROUP BY d.day, s.site_id""", ["energy"]))
 def q_daily_pivot(spark, d):
     return rounded(C.daily_energy_pivot(fx.events_hourly(spark, d)))
 

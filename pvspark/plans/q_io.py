@@ -23,13 +23,15 @@ def _scratch(spark, name):
     return os.path.join(checkpoint_dir(spark), "pvspark-io", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-@register("csv_ingest_roundtrip", O.with_ctes(O.EVENTS_HOURLY) + "SELECT * FROM hourly")
+@register("csv_ingest_roundtrip", O.with_ctes(O.EVENTS_HOURLY) + """SELECT *,
+   row_number() OVER (ORDER BY site_id, timestamp) - 1 AS source_row FROM hourly""")
 def q_csv_roundtrip(spark, d):
+    """S1-S3; the CSV is written in key order, so its line numbers are known."""
     raw = fx.raw_strings(fx.events_hourly(spark, d)).drop("source_row")
     base = _scratch(spark, "csv")
-    io.write_table(raw, base + "/raw", "csv")
+    io.write_table(raw, base + "/raw", "csv", order_by=["site_id", "timestamp"])
     io.ingest_hourly_csv(spark, base + "/raw", base + "/canonical")
-    return spark.read.parquet(base + "/canonical").drop("source_row", "month")
+    return spark.read.parquet(base + "/canonical").drop("month")
 
 
 @register("split_plan_roundtrip", O.with_ctes(O.EVENTS_HOURLY, QF.SPLIT_SQL) + f"""

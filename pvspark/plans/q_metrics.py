@@ -166,7 +166,7 @@ def q_comparison(spark, d):
 
 
 def _g_sql(x):
-    return f"regexp_replace(regexp_replace(CAST(CAST({x} AS DECIMAL(24,6)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+    return f"printf('%g', {x})"
 
 
 ROBUST_SQL = PRED_SQL.rstrip() + f""",

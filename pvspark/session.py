@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,28 +42,38 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    local session (one machine, as in tests) gets a scratch folder; on a
+    cluster executors could not share one, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return configured or ""
-    current = sc.getCheckpointDir()
+    except Exception:  # Spark Connect: the server's setting is all there is
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    if not configured:  # local tests only: the cluster names a shared folder
+    if not configured:
+        if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="pvspark-ckpt-")
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
+    """Write the rows as a table in the shared checkpoint folder and read them back.
+
+    Unlike ``checkpoint()`` the plan runs once, and later reads can prune
+    columns and filter.
+    """
     spark = spark or df.sparkSession
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -26,4 +26,4 @@ def test_oracle_matches_on_smoke_data(spark):
         pdf = con.execute(E.oracle_sql()[name]).df()
         pdf = pdf[sorted(pdf.columns)]
         o = sorted(tuple(str(v) for v in r) for r in pdf.itertuples(index=False))
-        assert len(s) == len(o), name
+        assert s == o, name

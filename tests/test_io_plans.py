@@ -105,5 +105,5 @@ def test_robustness_cohorts_present(spark):
 def test_daily_pivot_fills_zero(spark):
     df = spark.createDataFrame([("a", datetime(2025, 1, 1, 1), 2.0), ("b", datetime(2025, 1, 2, 1), 3.0)],
                                "site_id string, timestamp timestamp, ac_energy_kwh double")
-    rows = {str(r["day"])[:10]: (r["a"], r["b"]) for r in C.daily_energy_pivot(df).collect()}
-    assert rows == {"2025-01-01": (2.0, 0.0), "2025-01-02": (0.0, 3.0)}
+    rows = {(str(r["day"])[:10], r["site_id"]): r["energy"] for r in C.daily_energy_pivot(df).collect()}
+    assert rows == {("2025-01-01", "a"): 2.0, ("2025-01-01", "b"): 0.0, ("2025-01-02", "a"): 0.0, ("2025-01-02", "b"): 3.0}
