@@ -21,11 +21,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest id (repeated rows of it once)."""
+    """One document of each component stays: its first row in the table's order.
+
+    Rows are told apart by their place in the table (the same in every scan of its files), not by
+    doc_id, which may be null or repeated. Texts are only streamed past the hashed places to keep.
+    """
     importable(spark)
-    groups = ngram_join.ngram_jaccard_join(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    groups = ngram_join.ngram_jaccard_join(placed, id_col="_place")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_place"))
+    return placed.join(kept.hint("shuffle_hash"), "_place", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

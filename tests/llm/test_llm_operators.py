@@ -333,8 +333,9 @@ def test_pipeline_against_brute_force(spark, reference_encoding):
     table = spark.read.parquet(f"{SMOKE}/documents.parquet")
     text = {r["doc_id"]: r["text"] for r in table.collect()}
     good = {r["doc_id"] for r in queries.QUERIES["op8_quality"](spark, SMOKE).collect() if r["predicted"]}
-    groups = brute_components([(i, text[i]) for i in sorted(good)])
-    kept = {i for i, _, c, _ in groups if i == c}
+    order = [r["doc_id"] for r in table.select("doc_id").collect() if r["doc_id"] in good]
+    groups = brute_components([(k, text[i]) for k, i in enumerate(order)])
+    kept = {order[k] for k, _, c, _ in groups if k == c}
     items = [shingles(r["text"]) for r in spark.read.parquet(f"{SMOKE}/benchmark.parquet").collect()]
     kept = {i for i in kept if not any(s and 100 * len(s & shingles(text[i])) >= 75 * len(s) for s in items)}
     assert set(out) == kept
@@ -344,6 +345,13 @@ def test_pipeline_against_brute_force(spark, reference_encoding):
         assert out[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
+    rows = [(5, TEXTS[6]), (5, TEXTS[6]), (None, TEXTS[8]), (None, TEXTS[9]), (1, None), (1, ""), (None, None), (9, TEXTS[7])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), SMOKE).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([rows[0], rows[2], *rows[4:7]], key=str)
+
+
 def test_stages_keep_columns_and_survive_empty_input(spark):
     none = spark.read.parquet(f"{SMOKE}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
