@@ -232,6 +232,7 @@ def correlation_matrix(df: DataFrame, target: str = TARGET) -> DataFrame:
         F.col("a").alias("row_variable"), F.col("b").alias("column_variable"), F.col("r").alias("correlation"))
 
 
+# Texts of the report that results have to equal.
 READINESS_LIMITATIONS = (
     "Resolve missing hourly timestamps or document an explicit gap policy.",
     "Review optional-field missingness before feature selection.",

@@ -91,9 +91,8 @@ def q_advanced(spark, d):
 def q_permutation(spark, d):
     f = _features(spark, d)
     tr, va = PR.eligible(f, "train"), PR.eligible(f, "validation")
-    preds = [p for p in PREDICTORS if p.startswith(("ghi", "ac_energy_lag", "cloud", "is_daylight"))]
-    model = ML.fit_model(tr, preds, "ridge")
-    return rounded(ML.permutation_importance(model, va, preds, repeats=3))
+    model = ML.fit_model(tr, PREDICTORS, "ridge")
+    return rounded(ML.permutation_importance(model, va, PREDICTORS, max_copies=100))
 
 
 @register("forest_feature_importance")
