@@ -12,8 +12,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,7 +47,7 @@ _NAMED_OUT = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget pagination pager search complementary contentinfo dialog hidden".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
                     r"|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _UNFINISHED = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
@@ -56,11 +57,11 @@ _SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x85]+")
 @dataclass
 class Node:
     name: str
-    path: str
+    path: int  # number of its tag path
     parent: Node | None
     out: bool
-    depth: int
-    children: int = field(default=0)
+    in_article: bool  # it or an element around it is an article
+    inside: int = 0  # content elements in it, itself included
 
 
 @dataclass
@@ -73,7 +74,7 @@ class Leaf:
 def _marked_out(name: str, attrs: str, inside: Node) -> bool:
     if name in _OUT:
         return True
-    in_article = any_article(inside)
+    in_article = inside.in_article
     if name == "header":
         return not in_article  # an article's own header has its title
     for key, value in _ATTR.findall(attrs):
@@ -90,18 +91,14 @@ def _marked_out(name: str, attrs: str, inside: Node) -> bool:
     return False
 
 
-def any_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.name in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
+def leaves(page: str) -> tuple[list[Leaf], list[Node]]:
+    """Text leaves of a page in order, each with its element and the number of its block, and all elements.
 
-def leaves(page: str) -> list[Leaf]:
-    """Text leaves of a page in order, each with its element and the number of its block."""
-    root = Node("", "", None, False, 0)
+    Elements come after those around them. Tag paths are numbered, so that deep pages stay small.
+    """
+    root = Node("", 0, None, False, False)
     stack, found, block = [root], [], 0
+    nodes, paths, open_names = [root], {}, Counter()
     at, size = 0, len(page)
 
     def text(raw: str) -> None:
@@ -109,10 +106,16 @@ def leaves(page: str) -> list[Leaf]:
         if value:
             found.append(Leaf(stack[-1], value, block))
 
+    def close(k: int) -> None:
+        open_names.subtract(n.name for n in stack[k:])
+        del stack[k:]
+
     def close_until(names: set[str], barrier: set[str] | frozenset[str]) -> None:
+        if not any(open_names[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in names:
-                del stack[k:]
+                close(k)
                 return
             if stack[k].name in barrier:
                 return
@@ -131,9 +134,9 @@ def leaves(page: str) -> list[Leaf]:
         if m["close"]:
             if name in _BLOCK:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_names[name] else ():
                 if stack[k].name == name:
-                    del stack[k:]
+                    close(k)
                     break
                 if name not in _BLOCK and stack[k].name in _BLOCK:
                     break  # an inline end tag closes nothing beyond its block
@@ -149,8 +152,10 @@ def leaves(page: str) -> list[Leaf]:
                 found.append(Leaf(stack[-1], " ", block))
             continue
         parent = stack[-1]
-        parent.children += 1
-        node = Node(name, f"{parent.path}/{name}", parent, parent.out or _marked_out(name, attrs, parent), parent.depth + 1)
+        path = paths.setdefault((parent.path, name), len(paths) + 1)
+        node = Node(name, path, parent, parent.out or _marked_out(name, attrs, parent),
+                    parent.in_article or name in ("article", "main"))
+        nodes.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             stop = size if end is None else end.start()
@@ -158,12 +163,13 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if not attrs.rstrip().endswith("/") or name in _BLOCK:
             stack.append(node)
-    return found
+            open_names[name] += 1
+    return found, nodes
 
 
-def content_paths(kept: list[Leaf]) -> set[str]:
+def content_paths(kept: list[Leaf]) -> set[int]:
     """Tag paths whose smoothed, fused ratios of text and punctuation to leaves pass the threshold."""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for leaf in kept:
         t = totals.setdefault(leaf.node.path, [0, 0, 0])
         t[0] += len(leaf.text.strip())
@@ -172,7 +178,7 @@ def content_paths(kept: list[Leaf]) -> set[str]:
     ratios = [(totals[x.node.path][0] / totals[x.node.path][2], (1 + totals[x.node.path][1]) / totals[x.node.path][2])
               for x in kept]
     half = len(SMOOTHING) // 2
-    fused: dict[str, list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for i, leaf in enumerate(kept):
         weight = text = marks = 0.0
         for k, w in enumerate(SMOOTHING):
@@ -187,41 +193,34 @@ def content_paths(kept: list[Leaf]) -> set[str]:
     return {p for p, s in score.items() if s >= THRESHOLD * best}
 
 
-def _ancestors(node: Node) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out[::-1]
+def article_of(nodes: list[Node], content: list[Node]) -> Node:
+    """The outermost article around all content elements, or else the innermost section around them."""
+    for node in content:
+        node.inside = 1
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.inside += node.inside
+    around = [n for n in nodes if n.inside == len(content)]  # one line, from the root inwards
+    named = next((n for n in around if n.name in ("article", "main")), None)
+    return named or next((n for n in reversed(around) if n.name in _SECTION), around[0])
 
 
 def main_text(page: str) -> str:
     """The article of a page: its blocks in order, joined by newlines."""
-    every = [x for x in leaves(page) if not x.node.out]
+    found, nodes = leaves(page)
+    every = [x for x in found if not x.node.out]
     kept = [x for x in every if x.text.strip()]
     if not kept:
         return ""
     paths = content_paths(kept)
-    common: list[Node] | None = None
-    for node in {id(x.node): x.node for x in kept if x.node.path in paths}.values():
-        line = _ancestors(node)
-        if common is None:
-            common = line
-        else:
-            same = 0
-            while same < min(len(common), len(line)) and common[same] is line[same]:
-                same += 1
-            common = common[:same]
-    article = next((n for n in common if n.name in ("article", "main")), None)
-    if article is None:
-        article = next((n for n in reversed(common) if n.name in _SECTION), common[0])
+    article = article_of(nodes, list({id(x.node): x.node for x in kept if x.node.path in paths}.values()))
+    within = {id(article)}
+    for node in nodes:
+        if id(node.parent) in within:
+            within.add(id(node))
     blocks: dict[int, list[str]] = {}
-    inside: dict[int, bool] = {}
     for x in every:
-        key = id(x.node)
-        if key not in inside:
-            inside[key] = any(n is article for n in _ancestors(x.node))
-        if inside[key]:
+        if id(x.node) in within:
             blocks.setdefault(x.block, []).append(x.text)
     lines = (_SPACES.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(s for s in lines if s)

@@ -315,6 +315,17 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_main_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div>" * 50_000 + "Deep text, here." + "</b>" * 50_000, "Deep text, here."),
+    ("<b>x " * 20_000 + "</i>" * 20_000, " ".join(["x"] * 20_000)),
+    ('<p a="x>' * 20_000 + "End, of it.", "End, of it."),
+    ("<a title=\"foo\" bar'>Stray quote, kept.</a>", "Stray quote, kept."),
+    ('<a href="a>b">Sign in a value, dropped.</a>', "Sign in a value, dropped."),
+])
+def test_main_text_of_deep_and_broken_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     import duckdb
