@@ -87,6 +87,20 @@ def daylight_metrics(df: DataFrame, group_cols: list[str], y: str = TARGET, p: s
         "prediction_coverage_pct", 100.0 * F.col("prediction_count") / F.col("_full")).drop("_full")
 
 
+# ------------------------------------------------------------------ M10
+def fold_metrics(scored: DataFrame, by: list[str] = (), clip: bool = True, daylight: bool = False) -> DataFrame:
+    """Metrics of raw fold predictions per candidate and fold, and per ``by`` (``["site_id"]``: per-site record).
+
+    Negative predictions are counted, then raised to 0 where ``clip`` is set.  ``daylight`` restricts
+    the metrics to daylight rows, with the coverage relative to all rows of the fold.
+    """
+    g = ["candidate_id", "fold_number", *by]
+    out = postprocess(scored) if clip else scored
+    if daylight:
+        return daylight_metrics(out, g)
+    return forecast_metrics(out, g).join(negative_counts(scored, g), g)
+
+
 # ------------------------------------------------------------------ J10
 def common_cohort(wide: DataFrame, persistence: str, models: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows where persistence and every model prediction are finite.

@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import json
 import math
+import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from pvspark.schema import TARGET
-from pvspark.session import cut_lineage
+from pvspark.session import checkpoint_dir, cut_lineage
 
 MODEL_IDS = ("persistence", "dummy_mean", "ridge", "random_forest", "histogram_gradient_boosting")
 
@@ -40,6 +44,9 @@ class TrainingConfig:
     ridge_alpha: float = 1.0
     permutation_importance_repeats: int = 5
     refit_selected_model_on_train_validation: bool = True
+    minimum_train_rows: int = 24
+    minimum_validation_rows: int = 12
+    minimum_test_rows: int = 12
 
     def __post_init__(self):
         bad = sorted(set(self.enabled_models) - set(MODEL_IDS))
@@ -48,6 +55,11 @@ class TrainingConfig:
         if not self.enabled_models or len(set(self.enabled_models)) != len(self.enabled_models):
             raise ValueError("enabled_models must be non-empty and unique")
 
+    @property
+    def minimum_rows(self) -> dict[str, int]:
+        """Eligible rows that each split needs."""
+        return {"train": self.minimum_train_rows, "validation": self.minimum_validation_rows, "test": self.minimum_test_rows}
+
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -220,38 +232,55 @@ def flatten_candidates(candidates: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M10
-def tune(train_rows: DataFrame, members: DataFrame, predictors: list[str], candidates: list[dict],
-         cfg: TrainingConfig = TrainingConfig(), parallelism: int = 2) -> DataFrame:
-    """Fit every candidate on every fold; per-fold MAE/RMSE; failures recorded.
+def fold_rows(rows: DataFrame, fold) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of one fold, by its bounds as literals (no join with a membership table)."""
+    ts = F.col("timestamp")
+    return (rows.filter(ts <= F.lit(fold["training_end"])),
+            rows.filter(ts.between(F.lit(fold["validation_start"]), F.lit(fold["validation_end"]))))
+
+
+# What a candidate's settings can do to its own fit; anything else (a lost executor, a full disk) ends the job.
+_CANDIDATE_ERRORS = (TypeError, ValueError, ArithmeticError, IllegalArgumentException)
+
+
+def tune(train_rows: DataFrame, folds: DataFrame, predictors: list[str], candidates: list[dict],
+         cfg: TrainingConfig = TrainingConfig(), parallelism: int = 2, predictions_path: str | None = None) -> DataFrame:
+    """Fit every candidate on every fold; one record per candidate and fold.
 
-    Fits are distributed Spark jobs; a small thread pool runs several at once
-    (the way ``CrossValidator(parallelism=...)`` does).  ``members`` is the
-    fold-membership table (J9) of ``train_rows``.
+    Each fit writes the raw predictions of its fold (S14) to ``predictions_path``, by default a new
+    folder in the shared checkpoint folder; one pass over them gives all metrics.  A record has status,
+    failure_message, durations and the fold metrics (null where the fit failed).  Fits are distributed
+    Spark jobs; a small thread pool runs several at once, like ``CrossValidator(parallelism=...)``.
+    ``folds`` is the boundary table of W8, one row per fold.
     """
-    from pvspark.operators.metrics import forecast_metrics
+    from pvspark.operators.metrics import fold_metrics
     spark = train_rows.sparkSession
-    folds = sorted(r[0] for r in members.select("fold_number").distinct().collect())
-    # Every candidate x fold fit reads the fold rows: materialise them once.
-    keyed = cut_lineage(train_rows.join(members, ["site_id", "timestamp"]))
+    path = predictions_path or f"{checkpoint_dir(spark).rstrip('/')}/fold-predictions-{uuid.uuid4().hex}"
+    keep = [c for c in ("site_id", "timestamp", TARGET, "is_daylight") if c in train_rows.columns]
 
     def run(cand, fold):
+        cid, number = cand["candidate_id"], fold["fold_number"]
         try:
-            tr = keyed.filter((F.col("fold_number") == fold) & (F.col("role") == "training"))
-            va = keyed.filter((F.col("fold_number") == fold) & (F.col("role") == "validation"))
-            m = fit_model(tr, predictors, "tuned_xgboost", cfg, cand["parameters"])
-            pr = predict(m, va, ["site_id", "timestamp", TARGET])
-            if cfg.clip_negative_predictions:
-                pr = pr.withColumn("prediction", F.greatest("prediction", F.lit(0.0)))
-            r = forecast_metrics(pr, []).first()
-            return (cand["candidate_id"], fold, "succeeded", float(r["mae_kwh"]), float(r["rmse_kwh"]), None)
-        except Exception as exc:  # recorded, not fatal
-            return (cand["candidate_id"], fold, "failed", None, None, f"{type(exc).__name__}: {exc}")
-
-    jobs = [(c, f) for c in candidates for f in folds]
+            training, validation = fold_rows(train_rows, fold)
+            began = time.perf_counter()
+            model = fit_model(training, predictors, "tuned_xgboost", cfg, cand["parameters"])
+            fitted = time.perf_counter()
+            predict(model, validation, keep).write.mode("overwrite").parquet(
+                f"{path}/candidate_id={cid}/fold_number={number}")
+            return (cid, number, "succeeded", None, fitted - began, time.perf_counter() - fitted)
+        except _CANDIDATE_ERRORS as exc:  # recorded, not fatal
+            return (cid, number, "failed", f"{type(exc).__name__}: {exc}", None, None)
+
+    jobs = [(c, f) for c in candidates for f in folds.collect()]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(lambda a: run(*a), jobs))
-    return spark.createDataFrame(rows, "candidate_id string, fold_number int, status string, mae_kwh double, "
-                                       "rmse_kwh double, failure_message string")
+    records = spark.createDataFrame(rows, "candidate_id string, fold_number int, status string, failure_message string, "
+                                          "training_duration_seconds double, prediction_duration_seconds double")
+    schema = StructType([*train_rows.select(*keep).schema, StructField("prediction", DoubleType()),
+                         StructField("candidate_id", StringType()), StructField("fold_number", IntegerType())])
+    scored = (spark.read.schema(schema).parquet(path) if any(r[2] == "succeeded" for r in rows)
+              else spark.createDataFrame([], schema))
+    return records.join(fold_metrics(scored, clip=cfg.clip_negative_predictions), ["candidate_id", "fold_number"], "left")
 
 
 def candidate_summary(fold_metrics: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ PREDICTORS = QF.PREDICTORS
 SMALL_SPACE = {"n_estimators": (10, 20), "max_depth": (2, 3), "learning_rate": (0.1,), "min_child_weight": (1.0,),
                "subsample": (1.0,), "colsample_bytree": (1.0,), "reg_alpha": (0.0,), "reg_lambda": (1.0,),
                "gamma": (0.0,)}
-FAST = ML.TrainingConfig(random_forest_estimators=20, histogram_boosting_max_iter=20)
 
 
 def _features(spark, d):
@@ -68,21 +67,21 @@ def q_row_issues(spark, d):
 
 @register("baseline_validation_ranking")
 def q_baseline_ranking(spark, d):
-    res = TR.run_baseline(_features(spark, d), PREDICTORS, FAST)
+    res = TR.run_baseline(_features(spark, d), PREDICTORS)
     return rounded(res.validation_ranking.select("model_identifier", "mae_kwh", "rmse_kwh", "r2", "rank",
                                                  "negative_raw_prediction_count"))
 
 
 @register("baseline_test_metrics")
 def q_baseline_test(spark, d):
-    res = TR.run_baseline(_features(spark, d), PREDICTORS, FAST)
+    res = TR.run_baseline(_features(spark, d), PREDICTORS)
     return rounded(res.test_metrics.select("model_identifier", "mae_kwh", "rmse_kwh", "prediction_count",
                                            "prediction_coverage_pct"))
 
 
 @register("advanced_validation_leaderboard")
 def q_advanced(spark, d):
-    res = TR.run_advanced(_features(spark, d), PREDICTORS, QF.FOLDS, search_space=SMALL_SPACE, budget=2, cfg=FAST)
+    res = TR.run_advanced(_features(spark, d), PREDICTORS, QF.FOLDS, search_space=SMALL_SPACE, budget=2)
     return rounded(res.leaderboard.select("model_identifier", "mae_kwh", "rmse_kwh", "cross_validation_stability",
                                           "model_complexity_rank", "rank"))
 
@@ -99,7 +98,7 @@ def q_permutation(spark, d):
 def q_tree_importance(spark, d):
     f = _features(spark, d)
     tr = PR.eligible(f, "train")
-    model = ML.fit_model(tr, PREDICTORS, "random_forest", FAST)
+    model = ML.fit_model(tr, PREDICTORS, "random_forest")
     prep = ML.fit_preprocessing(tr, PREDICTORS, scale=False)
     return rounded(ML.tree_importance(spark, model, prep.output_names))
 

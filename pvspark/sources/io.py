@@ -115,11 +115,19 @@ def load_split_plan(spark: SparkSession, path: str) -> list[tuple[str, object, o
     return [(n, by[n]["start"], by[n]["end"], rc) for n, _, _, rc in out]
 
 
-def load_feature_dataset(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Feature table; missingness is kept as NULL."""
-    if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    return spark.read.format(fmt).load(path)
+def load_feature_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Feature table; missingness is kept as NULL.
+
+    Nothing is inferred: CSV columns are matched by header name and cast to ``schema``, and a value
+    that does not fit its type is an error; without a schema they stay strings."""
+    if fmt != "csv":
+        return spark.read.format(fmt).load(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return raw if schema is None else raw.select(*[F.col(_quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def load_manifest(spark: SparkSession, path: str) -> dict:
