@@ -14,16 +14,16 @@ from pvspark.session import checkpoint_dir, table_path
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-# Rows of long texts that go to a Python worker at once, where the session has Spark's default.
-BATCH_ROWS = 1000
-_DEFAULT_BATCH_ROWS = "10000"
+# Rows, and bytes beside one row, that go to a Python worker at once, where the session has Spark's defaults.
+_BATCH_LIMITS = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+                 ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"))
 
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package from its folder where it is not installed, and bound their batches."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == _DEFAULT_BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
+    for setting, default, limit in _BATCH_LIMITS:
+        if spark.conf.get(setting) == default:
+            spark.conf.set(setting, limit)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in parts:

@@ -41,6 +41,19 @@ def docs(spark):
     return spark.createDataFrame(rows, CLASH)
 
 
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([len(b)]), pa.array([b.nbytes])], names=["n", "size"])
+
+    table = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = table.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 300 and max(r["size"] for r in got) < (8 << 20) + 200_000
+
+
 def shingles(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
