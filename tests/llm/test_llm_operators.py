@@ -113,6 +113,21 @@ def test_components_of_chains_and_stars(spark):
     assert {k for k, v in got.items() if v == 100} == set(range(100, 130))
 
 
+@pytest.mark.parametrize("task", [8, 1 << 14])
+def test_components_of_random_edges(spark, monkeypatch, task):
+    monkeypatch.setattr(graph, "TASK_EDGES", task)
+    r = random.Random(11)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(210)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = dict(map(tuple, graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == root
+    assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_top_k_with_ties_bad_vectors_and_unequal_lengths(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in r.normal(size=8)], 1) for i in range(90)]
