@@ -23,11 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: its first row in the table's order.
 
-    Rows are told apart by their place in the table (the same in every scan of its files), not by
-    doc_id, which may be null or repeated. Texts are only streamed past the hashed places to keep.
+    Rows are told apart by their place in the table, not by doc_id, which may be null or repeated.
+    Places are written once: another scan may cut the files otherwise and number its rows anew. Texts
+    are only streamed past the hashed places to keep.
     """
     importable(spark)
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    placed = written(docs.withColumn("_place", F.monotonically_increasing_id()), "placed")
     groups = ngram_join.ngram_jaccard_join(placed, id_col="_place")
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_place"))
     return placed.join(kept.hint("shuffle_hash"), "_place", "left_semi").select(*docs.columns)

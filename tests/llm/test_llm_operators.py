@@ -391,6 +391,26 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
     assert sorted(map(tuple, out), key=str) == sorted([rows[0], rows[2], *rows[4:7]], key=str)
 
 
+def test_near_duplicate_stage_keeps_the_same_rows_when_files_are_cut_anew(spark, tmp_path, monkeypatch):
+    rows = [(i, TEXTS[6] if i % 2 else words(40, 1000 + i)) for i in range(64)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    join, setting = ngram_join.ngram_jaccard_join, "spark.sql.files.minPartitionNum"
+
+    def join_then_cut_anew(*args, **kwargs):
+        out = join(*args, **kwargs)
+        spark.conf.set(setting, "64")
+        return out
+
+    monkeypatch.setattr(ngram_join, "ngram_jaccard_join", join_then_cut_anew)
+    spark.conf.set(setting, "1")
+    try:
+        out = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), SMOKE).collect()
+    finally:
+        spark.conf.unset(setting)
+    assert sum(r["doc_id"] % 2 for r in out) == 1
+    assert sorted(r["doc_id"] for r in out if r["doc_id"] % 2 == 0) == list(range(0, 64, 2))
+
+
 def test_stages_keep_columns_and_survive_empty_input(spark):
     none = spark.read.parquet(f"{SMOKE}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES[:-1]:
