@@ -131,3 +131,19 @@ def test_categorical_most_frequent_and_unknown_all_zero(spark):
     test = spark.createDataFrame([("zzz", 1.0, 0.0)], "c string, x double, ac_energy_kwh double")
     vec = model.transform(test).first()["features"].toArray().tolist()
     assert vec[1:] == [0.0, 0.0]
+
+
+def test_registered_tuning_fits_the_default_search(spark, monkeypatch):
+    from pvspark.plans import q_models
+    want = {r["candidate_id"] for r in ML.candidate_grid(spark).collect()}
+
+    class Reached(Exception):
+        pass
+
+    def tune(train, folds, predictors, candidates, *args, **kwargs):
+        assert len(want) == 24 and {c["candidate_id"] for c in candidates} == want
+        raise Reached
+
+    monkeypatch.setattr(ML, "tune", tune)
+    with pytest.raises(Reached):
+        q_models.q_advanced(spark, "/root/testdata/sf0.01")
