@@ -212,10 +212,10 @@ def _rare_first(replies: DataFrame, percent: int) -> DataFrame:
     return replies.mapInArrow(run, "class_id long, n long, prefix array<long>, tokens binary, dfs binary")
 
 
-def link_cell(cls, n, within, tokens, dfs, copies, block, percent: int):
+def link_cell(cls, n, within, tokens, dfs, copies, block, across: bool, percent: int):
     """PPJoin in one cell: (class, smallest class it is joined with, documents it links to) per linked class.
 
-    ``block`` tells the cell's two blocks apart; if both occur, only pairs across them count.
+    ``block`` tells the cell's two blocks apart; ``across`` them (either may be empty), only such pairs count.
     """
     order = np.lexsort((cls, n))
     cls, n, within, copies, block = (np.asarray(x)[order] for x in (cls, n, within, copies, block))
@@ -236,7 +236,6 @@ def link_cell(cls, n, within, tokens, dfs, copies, block, percent: int):
     pr, pd, pi = pr[order], pd[order], pi[order]
     run_start = np.searchsorted(pr, np.arange(len(u) + 1))
     shortest = -(-percent * n // 100)
-    across = block.min() != block.max()
     degree, root = np.zeros(len(cls), np.int64), np.arange(len(cls))
     mark = np.zeros(len(u), bool)
     for x in range(1, len(cls)):
@@ -301,7 +300,7 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame:
             if len(rows) > 1:
                 cls, n, within, tokens, dfs, copies, block = zip(*rows, strict=True)
                 out = link_cell(cls, n, within, [np.frombuffer(t, "u8") for t in tokens],
-                                [np.frombuffer(d, "u4") for d in dfs], copies, block, percent)
+                                [np.frombuffer(d, "u4") for d in dfs], copies, block, key[1] != key[2], percent)
                 if len(out[0]):
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["class_id", "root", "links"])
 

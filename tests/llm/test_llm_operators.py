@@ -102,6 +102,16 @@ def test_join_of_near_copies_in_blocks_of_any_size(spark, monkeypatch, block):
     assert sorted(got, key=str) == brute_components(rows)
 
 
+@pytest.mark.parametrize("copies", [2, 3, 8])
+def test_join_counts_links_once_where_blocks_are_empty(spark, monkeypatch, copies):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 200)
+    base = words(200, 12)
+    rows = [(i, f"{base} tail{i} end") for i in range(copies)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(x) for x in ngram_join.ngram_jaccard_join(table).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
