@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into text leaves with their root-to-leaf tag paths. Leaves inside navigation, adverts,
-forms, scripts, notices, comments and the like are out. For the rest, text length and punctuation are
+forms, scripts, notices, comments and the like are out; an element that is so only by its class, id or
+role stays where it holds most of the content. For the rest, text length and punctuation are
 aggregated per tag path, as ratios to the number of its leaves; both are smoothed over neighbouring
 leaves and fused by their geometric mean; paths above a share of the best one hold content. The
 smallest sectioning element around the content's leaves is the article, whose blocks make the text.
@@ -61,7 +62,9 @@ class Node:
     parent: Node | None
     out: bool
     in_article: bool  # it or an element around it is an article
+    named: bool = False  # its class, id or role says that it is not the article
     inside: int = 0  # content elements in it, itself included
+    held: int = 0  # characters of content in it
 
 
 @dataclass
@@ -71,24 +74,27 @@ class Leaf:
     block: int
 
 
-def _marked_out(name: str, attrs: str, inside: Node) -> bool:
+def _marked_out(name: str, attrs: str, inside: Node) -> tuple[bool, bool]:
+    """Whether an element is out, and whether it only has a name like one that is."""
     if name in _OUT:
-        return True
+        return True, False
     in_article = inside.in_article
     if name == "header":
-        return not in_article  # an article's own header has its title
+        return not in_article, False  # an article's own header has its title
+    named = False
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role"):
+            return True, False
+        if key in ("class", "id", "role") and not named:
             for word in value.split():
                 if word in _NAMED_OUT or (name not in ("article", "main", "body")
                                           and not _NAMED_OUT.isdisjoint(re.split(r"[-_0-9]+", word))):
-                    return not (in_article and "header" in re.split(r"[-_0-9]+", word))
-    return False
+                    named = not (in_article and "header" in re.split(r"[-_0-9]+", word))
+                    break
+    return False, named
 
 
 def leaves(page: str) -> tuple[list[Leaf], list[Node]]:
@@ -153,8 +159,8 @@ def leaves(page: str) -> tuple[list[Leaf], list[Node]]:
             continue
         parent = stack[-1]
         path = paths.setdefault((parent.path, name), len(paths) + 1)
-        node = Node(name, path, parent, parent.out or _marked_out(name, attrs, parent),
-                    parent.in_article or name in ("article", "main"))
+        out, named = (True, False) if parent.out else _marked_out(name, attrs, parent)
+        node = Node(name, path, parent, out, parent.in_article or name in ("article", "main"), named)
         nodes.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(page, at)
@@ -193,6 +199,19 @@ def content_paths(kept: list[Leaf]) -> set[int]:
     return {p for p, s in score.items() if s >= THRESHOLD * best}
 
 
+def drop_named(kept: list[Leaf], nodes: list[Node]) -> None:
+    """Named elements are out with all in them, but for those that hold most of the content."""
+    paths = content_paths(kept)
+    for x in kept:
+        if x.node.path in paths:
+            x.node.held += len(x.text.strip())
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.held += node.held
+    for node in nodes[1:]:
+        node.out = node.out or node.parent.out or (node.named and 2 * node.held <= nodes[0].held)
+
+
 def article_of(nodes: list[Node], content: list[Node]) -> Node:
     """The outermost article around all content elements, or else the innermost section around them."""
     for node in content:
@@ -208,6 +227,8 @@ def article_of(nodes: list[Node], content: list[Node]) -> Node:
 def main_text(page: str) -> str:
     """The article of a page: its blocks in order, joined by newlines."""
     found, nodes = leaves(page)
+    if any(n.named for n in nodes):
+        drop_named([x for x in found if not x.node.out and x.text.strip()], nodes)
     every = [x for x in found if not x.node.out]
     kept = [x for x in every if x.text.strip()]
     if not kept:

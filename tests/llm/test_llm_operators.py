@@ -414,6 +414,16 @@ def test_main_text_of_deep_and_broken_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("around", ['div class="has-sidebar"', 'div class="no-sidebar"', 'div class="layout-with-header"',
+                                    'div class="page-search-result"', 'div id="social-science"', 'body class="search"',
+                                    'main id="search"'])
+def test_names_never_remove_the_article(around):
+    body = "<h1>Head</h1>" + "<p>A paragraph, long enough to be content of the page.</p>" * 4
+    page = (f'<div class="menu"><a href="/">Menu, home.</a></div><{around}>{body}<div class="ad">Buy, now.</div>'
+            f"</{around.split()[0]}>")
+    assert html_text.main_text(page) == "\n".join(["Head"] + ["A paragraph, long enough to be content of the page."] * 4)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_queries_match_their_sql(spark, name):
     import duckdb
