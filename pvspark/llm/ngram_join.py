@@ -37,8 +37,6 @@ FLUSH_TOKENS = 1 << 20
 BLOCK_CLASSES = 1024
 BLOCK_TOKENS = 400_000
 
-_LOW48 = np.uint64((1 << 48) - 1)
-
 
 def class_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -83,7 +81,7 @@ def _dealt(classes, sizes, sets, buckets: int) -> Iterator[pa.RecordBatch]:
     tok, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), counts)
     bucket = ((tok >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
-    tok, owner, bucket = tok[order] & _LOW48, owner[order], bucket[order]
+    tok, owner, bucket = tok[order], owner[order], bucket[order]
     cut = _runs(bucket)
     cols: list[list] = [[] for _ in range(6)]
     for s, e in zip(cut[:-1], cut[1:], strict=True):
@@ -92,7 +90,7 @@ def _dealt(classes, sizes, sets, buckets: int) -> Iterator[pa.RecordBatch]:
         for col, value in zip(cols, (int(bucket[s]), classes[own].tobytes(), sizes[own].tobytes(),
                                      np.diff(heads).astype(np.uint32).tobytes(),
                                      tok[s:e].astype(np.uint32).tobytes(),
-                                     (tok[s:e] >> np.uint64(32)).astype(np.uint16).tobytes()), strict=True):
+                                     (tok[s:e] >> np.uint64(32)).astype(np.uint32).tobytes()), strict=True):
             col.append(value)
     yield pa.record_batch([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
                           names=["bucket", "classes", "sizes", "counts", "low", "high"])
@@ -141,7 +139,7 @@ def _shared_tokens(packed: DataFrame, buckets: int) -> DataFrame:
     """Shingles held by two classes at least, with their document frequency, packed by their class's bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _unpacked(batches, ["classes", "sizes", "counts", "low", "high"], ["i8", "u4", "u4", "u4", "u2"])
+        found = _unpacked(batches, ["classes", "sizes", "counts", "low", "high"], ["i8", "u4", "u4", "u4", "u4"])
         for bucket in list(found):
             rows = found.pop(bucket)
             low = np.concatenate([r[3] for r in rows]).astype(np.uint64)
@@ -161,7 +159,7 @@ def _shared_tokens(packed: DataFrame, buckets: int) -> DataFrame:
             cut = _runs(tok)
             df = np.repeat(np.diff(cut), np.diff(cut))
             keep = df > 1
-            tok, cls, size, df = tok[keep] | np.uint64(bucket << 48), cls[keep], size[keep], df[keep]
+            tok, cls, size, df = tok[keep], cls[keep], size[keep], df[keep]
             if not len(tok):
                 continue
             to = (cls.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)

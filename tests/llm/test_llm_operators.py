@@ -112,6 +112,14 @@ def test_join_counts_links_once_where_blocks_are_empty(spark, monkeypatch, copie
     assert sorted(got, key=str) == brute_components(rows)
 
 
+def test_shingles_that_differ_in_their_upper_bits_are_not_shared(spark):
+    import pyarrow as pa
+    sets = [np.array([7], np.uint64), np.array([7 | 1 << 48, 9], np.uint64), np.array([9], np.uint64)]
+    packed = pa.Table.from_batches(ngram_join._dealt(np.arange(3), np.array([1, 2, 1], np.uint32), sets, 2))
+    got = ngram_join._shared_tokens(spark.createDataFrame(packed).coalesce(1), 2).collect()
+    assert {t for r in got for t in np.frombuffer(r["tokens"], "u8")} == {9}
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
