@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvspark.llm import (bpe, chat, decontam, html_text, ngram_join, pii, quality, secret_scan, token_counts, topk)
+from pvspark.llm import (bpe, chat, conversation_repair, decontam, html_text, ngram_join, pii, quality, secret_scan,
+                         token_counts, topk)
 from pvspark.llm.common import importable, read_table
 
 # The key of the registered queries' pseudonyms; a production run passes its own secret.
@@ -95,9 +96,26 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(read_table(spark, sf_dir, "pages"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows damaged by crc32 of conv_id and turn; a dropped row stays to announce its conversation."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fate = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return conversations.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (fate != 0).alias("present"), F.explode(F.sequence(F.lit(1), F.when(fate == 3, 2).otherwise(1))).alias("copy"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(conversation_repair.repair_conversations(rows, present="present"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_ngram_join, op2_top_k, op3_decontamination, op4_chat_format, op5_pii, op6_token_counts,
-                            op7_bpe, op8_quality, op9_secrets, op10_html_text)}
+                            op7_bpe, op8_quality, op9_secrets, op10_html_text, op11_conversation_repair)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[^\x20\x09-\x0D]+')"""
@@ -150,4 +168,58 @@ ORACLE_SQL: dict[str, str] = {
                  sum(6 + length(r) + 7 + length(t) + 4) AS chars FROM e GROUP BY conv_id)
     SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars,
            sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g""",
+    "op11_conversation_repair": r"""
+    WITH RECURSIVE crc_table AS (
+      SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+               CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+    keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+    fated AS (SELECT conv_id, turn, role, text,
+                xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1)))),
+                    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 20 AS fate FROM keyed, crc_table),
+    hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+               CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated),
+    placed AS (SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS r0,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+                 rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS trimmed
+               FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+    r AS (SELECT *, trimmed = '' AS is_blank, trimmed <> '' AND seen AS is_duplicate,
+            trimmed <> '' AND NOT seen AND right(trimmed, 1) NOT IN ('.', '!', '?') AS is_cut,
+            lag(r0) OVER (PARTITION BY conv_id ORDER BY i) AS r1 FROM placed),
+    inserts(q, k, s, letters, added) AS (VALUES
+      (0, 0, 0, '', []::VARCHAR[]), (0, 1, 2, 'I', ['user:']), (0, 2, 3, 'II', ['user:', 'assistant:']),
+      (1, 0, 1, '', []::VARCHAR[]), (1, 1, 2, 'I', ['user:']), (1, 2, 3, 'II', ['user:', 'assistant:']),
+      (2, 0, 2, '', []::VARCHAR[]), (2, 1, 3, 'I', ['assistant:']), (2, 2, 2, 'II', ['assistant:', 'user:']),
+      (3, 0, 3, '', []::VARCHAR[]), (3, 1, 2, 'I', ['user:']), (3, 2, 3, 'II', ['user:', 'assistant:'])),
+    edits(edit, s, needs, q2, becomes, price) AS (VALUES
+      ('D', 0, NULL, 0, NULL, 2), ('D', 1, NULL, 1, NULL, 2), ('D', 2, NULL, 2, NULL, 2), ('D', 3, NULL, 3, NULL, 2),
+      ('K', 0, 's', 1, NULL, 0), ('K', 0, 'u', 2, NULL, 0), ('K', 1, 'u', 2, NULL, 0), ('K', 3, 'u', 2, NULL, 0),
+      ('K', 2, 'a', 3, NULL, 0), ('R', 0, NULL, 2, 'user', 1), ('R', 1, NULL, 2, 'user', 1), ('R', 3, NULL, 2, 'user', 1),
+      ('R', 2, NULL, 3, 'assistant', 1)),
+    best AS (
+      SELECT c.conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'rows': []::VARCHAR[]} AS path
+      FROM (SELECT DISTINCT conv_id FROM conversations) c
+      UNION ALL
+      SELECT b.conv_id, r.i, e.q2, min({'cost': path.cost + 5 * n.k + e.price + CASE WHEN r.is_cut AND e.edit <> 'D' THEN 5 ELSE 0 END,
+               'audit': path.audit || n.letters || e.edit,
+               'rows': list_concat(path.rows, list_concat(n.added, CASE WHEN e.edit = 'D' THEN []::VARCHAR[]
+                       ELSE [coalesce(e.becomes, r.role) || ':' || r.text] END))})
+      FROM best b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1 JOIN inserts n ON n.q = b.q
+      JOIN edits e ON e.s = n.s AND (e.edit = 'D' OR NOT (r.is_blank OR r.is_duplicate)) AND (e.needs IS NULL OR e.needs = r.r0)
+      GROUP BY b.conv_id, r.i, e.q2),
+    facts AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (is_blank) AS blank, count(*) FILTER (is_duplicate) AS duplicate,
+                count(*) FILTER (is_cut) AS truncated,
+                count(*) FILTER (i > 1 AND r1 || r0 NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+    ended AS (SELECT b.conv_id, min({'cost': path.cost + 5 * x.k, 'audit': path.audit || x.letters,
+                                    'rows': list_concat(path.rows, x.added)}) AS path
+              FROM best b LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id
+              JOIN inserts x ON x.q = b.q AND x.k = CASE b.q WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END
+              WHERE b.i = coalesce(f.n, 0) GROUP BY b.conv_id)
+    SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+           coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+           coalesce(illegal, 0)::BIGINT AS illegal, path.cost::BIGINT AS cost, path.audit AS audit,
+           sha256(array_to_string(path.rows, chr(10))) AS repaired_sha256
+    FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id""",
 }
