@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pvspark.llm import (bpe, chat, conversation_repair, decontam, html_text, ngram_join, pii, quality, secret_scan,
-                         token_counts, topk)
+                         token_counts, topk, warc)
 from pvspark.llm.common import importable, read_table
 
 # The key of the registered queries' pseudonyms; a production run passes its own secret.
@@ -113,9 +113,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.repair_conversations(rows, present="present"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    folder = warc.archive_folder(spark)
+    warc.write_archives(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_ngram_join, op2_top_k, op3_decontamination, op4_chat_format, op5_pii, op6_token_counts,
-                            op7_bpe, op8_quality, op9_secrets, op10_html_text, op11_conversation_repair)}
+                            op7_bpe, op8_quality, op9_secrets, op10_html_text, op11_conversation_repair,
+                            op12_warc)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[^\x20\x09-\x0D]+')"""
@@ -222,4 +231,16 @@ ORACLE_SQL: dict[str, str] = {
            coalesce(illegal, 0)::BIGINT AS illegal, path.cost::BIGINT AS cost, path.audit AS audit,
            sha256(array_to_string(path.rows, chr(10))) AS repaired_sha256
     FROM ended e LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM e.conv_id""",
+    "op12_warc": """
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, html,
+            row_number() OVER w AS place, first(page_id) OVER w AS least
+          FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS FIRST)),
+    bits AS (SELECT *, list_transform(range(0, 40), lambda i: ('0x' || substr(sha1(html), i + 1, 1))::INTEGER) AS nibble FROM d)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(
+             list_transform(range(5 * k, 5 * k + 5), lambda b: (nibble[b // 4 + 1] // (2 ** (3 - b % 4))::INTEGER) % 2),
+             lambda a, b: 2 * a + b), 1)), '') AS payload_digest,
+           CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN place > 1 THEN least END AS refers_to, NULL::VARCHAR AS error FROM bits""",
 }
