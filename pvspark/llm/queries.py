@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pvspark.llm import (bpe, chat, conversation_repair, decontam, html_text, ngram_join, pii, quality, secret_scan,
-                         token_counts, topk, warc)
+from pvspark.llm import (bpe, chat, conversation_repair, decontam, hard_negatives, html_text, ngram_join, pii, quality,
+                         secret_scan, token_counts, topk, warc)
 from pvspark.llm.common import importable, read_table
 
 # The key of the registered queries' pseudonyms; a production run passes its own secret.
@@ -121,10 +121,17 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_ngram_join, op2_top_k, op3_decontamination, op4_chat_format, op5_pii, op6_token_counts,
                             op7_bpe, op8_quality, op9_secrets, op10_html_text, op11_conversation_repair,
-                            op12_warc)}
+                            op12_warc, op13_hard_negatives)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                '[^\x20\x09-\x0D]+')"""
@@ -243,4 +250,18 @@ ORACLE_SQL: dict[str, str] = {
              lambda a, b: 2 * a + b), 1)), '') AS payload_digest,
            CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN place > 1 THEN least END AS refers_to, NULL::VARCHAR AS error FROM bits""",
+    "op13_hard_negatives": """
+    WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+    s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same,
+                 list_inner_product(a.v, c.v)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.row <> c.row),
+    p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) AS place FROM s WHERE same),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id, s.row) AS rank
+          FROM p JOIN s ON p.place <= 5 AND s.anchor = p.anchor AND NOT s.same
+                       AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
 }
