@@ -1,16 +1,19 @@
 """Byte-level BPE encoding and decoding by merge ranks, with a segment tree over byte positions.
 
-A leaf holds the rank of merging the token that starts at its byte with the next one, and inner nodes
-the leftmost minimum of their halves. A merge takes the root's pair, joins the two tokens in the list
-of live tokens and updates three leaves: the merged token's, its left neighbour's, and the swallowed
-one's. A text of n bytes takes O(n log n) steps, also as one single pre-token.
+A leaf holds the rank of merging the token that starts at its byte with the next one, and an inner node
+the leftmost minimum of its children, 32 of them, over which Python's own ``min`` runs. A merge takes the
+root's pair, joins the two tokens in the list of live tokens and updates three leaves: the merged token's,
+its left neighbour's, and the swallowed one's; their paths to the root are climbed together. A text of n
+bytes takes O(n log n) steps, also as one single pre-token.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,89 +23,86 @@ from pvspark.llm.common import id_and_text
 from pvspark.llm.pretoken import pre_tokens
 
 # Encoded pre-tokens that a worker keeps.
-CACHE = 1 << 18
+CACHE = 1 << 19
 CACHE_CHARS = 64
 
+# Children of an inner node of the tree, and the value of a leaf whose pair does not merge.
+FANOUT = 32
+_NEVER = 1 << 62
+
 _loaded: dict[str, Ranks] = {}
 
 
-class Ranks:
-    """A rank file: encoder of pre-tokens and decoder of ids, with a bounded cache."""
+class Ranks(dict):
+    """A rank file: encoder of pre-tokens and decoder of ids. It maps pre-tokens to their packed ids, as a bounded cache."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
+        super().__init__()
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
         self.token = {rank: token for token, rank in self.rank.items()}
         self._general = regex.compile(pattern).findall
-        self._cache: dict[str, list[int]] = {}
+        self._byte = [self.rank[bytes([c])] for c in range(256)]
+        self._pair = [self.rank.get(bytes([c, d]), _NEVER) for c in range(256) for d in range(256)]
 
     def encode_bytes(self, b: bytes) -> list[int]:
-        get = self.rank.get
+        get, n = self.rank.get, len(b)
         whole = get(b)
         if whole is not None:
             return [whole]
-        n = len(b)
-        shift = (n - 1).bit_length()
-        m = 1 << shift
-        none = 1 << 62
-        tree = [none] * (2 * m)
-        for i in range(n - 1):
-            r = get(b[i:i + 2])
-            if r is not None:
-                tree[m + i] = r << shift | i  # a smaller rank first, then the leftmost
-        for k in range(m - 1, 0, -1):
-            left, right = tree[2 * k], tree[2 * k + 1]
-            tree[k] = left if left < right else right
+        pair = self._pair
+        ids = [self._byte[c] for c in b]  # of the token that starts at each byte: a merge's rank is its token's id
+        leaves = [pair[c << 8 | d] for c, d in zip(b, b[1:])]
+        leaves.append(_NEVER)
+        levels = [leaves]  # from the leaves up to the children of the root
+        while len(levels[-1]) > FANOUT:
+            below = levels[-1]
+            levels.append([min(below[k:k + FANOUT]) for k in range(0, len(below), FANOUT)])
+        top, flat = levels[-1], len(levels) == 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := tree[1]) < none:
-            i = least & (m - 1)
+        while (least := min(top)) < _NEVER:
+            i = top.index(least)
+            if not flat:
+                for level in levels[-2::-1]:
+                    i = level.index(least, i * FANOUT)
             j = after[i]
             k = after[j]
             after[i] = k
-            updates = [(j, none)]
-            r = None
+            ids[i] = least
+            leaves[j] = _NEVER
             if k < n:
                 before[k] = i
-                r = get(b[i:after[k]])
-            updates.append((i, none if r is None else r << shift | i))
+                leaves[i] = get(b[i:after[k]], _NEVER)
+            else:
+                leaves[i] = _NEVER
             p = before[i]
             if p >= 0:
-                r = get(b[p:k])
-                updates.append((p, none if r is None else r << shift | p))
-            for at, value in updates:
-                at += m
-                if tree[at] == value:
-                    continue
-                tree[at] = value
-                while at > 1:
-                    other = tree[at ^ 1]
-                    if other < value:
-                        value = other
-                    at >>= 1
-                    if tree[at] == value:
-                        break
-                    tree[at] = value
-        ids, i = [], 0
+                leaves[p] = get(b[p:k], _NEVER)
+            if not flat:
+                changed = {i // FANOUT, j // FANOUT, max(p, 0) // FANOUT}
+                for below, level in zip(levels, levels[1:]):
+                    for at in changed:
+                        level[at] = min(below[at * FANOUT:at * FANOUT + FANOUT])
+                    changed = {at // FANOUT for at in changed}
+        out, i = [], 0
         while i < n:
-            ids.append(self.rank[b[i:after[i]]])
+            out.append(ids[i])
             i = after[i]
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        cache = self._cache
-        for piece in pre_tokens(text, self._general):
-            found = cache.get(piece)
-            if found is None:
-                found = self.encode_bytes(piece.encode())
-                if len(piece) <= CACHE_CHARS:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = found
-            ids += found
-        return ids
+        return out
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = array("i", self.encode_bytes(piece.encode())).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed as 32-bit integers."""
+        return b"".join(map(self.__getitem__, pre_tokens(text, self._general)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -131,14 +131,16 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ranks(path, pattern)
         for b in batches:
-            start, offsets, flat = 0, [0], []
+            start, held, size = 0, [], 0
             for i, text in enumerate(b.column("text")):
-                flat += r.encode(text.as_py())
-                offsets.append(len(flat))
-                if len(flat) >= BATCH_IDS or i == len(b) - 1:
-                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                    yield pa.record_batch([b.column("doc_id").slice(start, len(ids)), ids], names=["doc_id", "ids"])
-                    start, offsets, flat = i + 1, [0], []
+                held.append(r.encode(text.as_py()))
+                size += len(held[-1])
+                if size >= 4 * BATCH_IDS or i == len(b) - 1:
+                    offsets = np.cumsum([0, *(len(x) // 4 for x in held)], dtype=np.int32)
+                    flat = np.frombuffer(b"".join(held), np.int32)
+                    yield pa.record_batch([b.column("doc_id").slice(start, len(held)),
+                                           pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "ids"])
+                    start, held, size = i + 1, [], 0
 
     return id_and_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 

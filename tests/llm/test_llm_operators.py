@@ -317,7 +317,11 @@ def test_segment_tree_on_random_bytes(reference_encoding):
     g = random.Random(5)
     for _ in range(300):
         s = "".join(g.choices("abcdeéàß日 .!0123", k=g.randrange(1, 40)))
-        assert r.encode(s) == reference_encoding.encode_ordinary(s), s
+        assert np.frombuffer(r.encode(s), np.int32).tolist() == reference_encoding.encode_ordinary(s), s
+    for n in (31, 32, 33, 34, 100, 1023, 1024, 1025, 1100, 3000):  # one pre-token; trees of one to three levels
+        for letters in ("abcdefgh", "ab", "éa", "z"):
+            s = "".join(g.choices(letters, k=n))
+            assert r.encode_bytes(s.encode()) == reference_encoding.encode_ordinary(s), s
 
 
 def test_fast_split_agrees_with_the_pattern():
