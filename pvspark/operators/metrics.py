@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pvspark.functions import is_finite
 from pvspark.functions.quantiles import exact_percentiles
 from pvspark.schema import TARGET
+from pvspark.session import cut_lineage
 
 
 def metric_aggs(y: Column, p: Column, capacity: Column | None = None) -> list[Column]:
@@ -101,6 +102,41 @@ def fold_metrics(scored: DataFrame, by: list[str] = (), clip: bool = True, dayli
     return forecast_metrics(out, g).join(negative_counts(scored, g), g)
 
 
+def fold_record(scored: DataFrame, clip: bool = True) -> DataFrame:
+    """One record per candidate and fold: its metrics, the struct ``daylight`` and the map ``by_site`` of the same.
+
+    Every prediction goes into its cohorts (fold, site, daylight) as it is read, so one grouping computes
+    all of them.  Daylight coverage is relative to the fold's rows; without the flag or without such
+    rows the struct is null.  Without ``site_id`` the map is empty; a null site counts as ``''``.
+    """
+    g = ["candidate_id", "fold_number"]
+    out = scored.withColumn("_negative", F.col("prediction") < 0)
+    out = out.withColumn("prediction", F.greatest("prediction", F.lit(0.0))) if clip else out
+    cohorts = [F.struct(F.lit("fold").alias("cohort"), F.lit("").alias("site"))]
+    if "site_id" in scored.columns:
+        cohorts.append(F.struct(F.lit("site").alias("cohort"), F.coalesce("site_id", F.lit("")).alias("site")))
+    if "is_daylight" in scored.columns:
+        cohorts.append(F.when(F.col("is_daylight") == 1, F.struct(F.lit("daylight").alias("cohort"), F.lit("").alias("site"))))
+    rows = out.select(*g, TARGET, "prediction", "_negative",
+                      F.explode(F.array_compact(F.array(*cohorts))).alias("_c")).select("*", "_c.*").drop("_c")
+    key = [*g, "cohort", "site"]
+    e = F.col("prediction") - F.col(TARGET)
+    agg = rows.groupBy(*key).agg(*metric_aggs(F.col(TARGET), F.col("prediction")),
+                                 F.count_if("_negative").alias("negative_raw_prediction_count"))
+    med = exact_percentiles(rows.select(*key, F.abs(e).alias("_ae")), key, "_ae", [0.5], ["median_absolute_error_kwh"])
+    each = finish_metrics(agg.join(med, key, "left"))
+    names = [c for c in each.columns if c not in key]
+    record = F.struct(*names)
+    each = each.groupBy(*g).agg(
+        F.first(F.when(F.col("cohort") == "fold", record), ignorenulls=True).alias("_fold"),
+        F.first(F.when(F.col("cohort") == "daylight", record), ignorenulls=True).alias("daylight"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("cohort") == "site", F.struct("site", record)))))
+        .alias("by_site"))
+    covered = 100.0 * F.col("daylight.prediction_count") / F.col("_fold.prediction_count")
+    return each.select(*g, "_fold.*", F.when(F.col("daylight").isNotNull(), F.col("daylight").withField(
+        "prediction_coverage_pct", covered)).alias("daylight"), "by_site")
+
+
 # ------------------------------------------------------------------ J10
 def common_cohort(wide: DataFrame, persistence: str, models: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows where persistence and every model prediction are finite.
@@ -155,24 +191,38 @@ def prediction_frame(df: DataFrame, model_col: str = "model_identifier", p: str
 
 
 # ------------------------------------------------------------------ W13
-def cumulative_energy(report: DataFrame, group_cols: list[str] = ("model_identifier",)) -> DataFrame:
+def cumulative_energy(report: DataFrame, group_cols: list[str] = ("model_identifier",), block: str = "month") -> DataFrame:
     """Running actual and predicted totals in (timestamp, site) order.
 
-    Totals per timestamp are accumulated over the timestamp table (one row
-    per hour, bounded by the time span); only rows of one timestamp are then
-    ordered by site, so no window orders the raw rows globally.
+    Prefix sums on three levels, so that no window spans a model's timestamps: the totals of the blocks
+    before (``block``, a unit of ``date_trunc``; one row per block), of the timestamps before within the
+    block, and of the sites up to the row within its timestamp.  Rows without a timestamp come first, as
+    a block of their own.
     """
-    g = list(group_cols)
-    per_ts = report.groupBy(*g, "timestamp").agg(F.sum("actual_ac_energy_kwh").alias("_a"),
-                                                F.sum("prediction").alias("_p"))
-    wts = Window.partitionBy(*g).orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_ts.select(*g, "timestamp", F.coalesce(F.sum("_a").over(wts), F.lit(0.0)).alias("_ab"),
-                           F.coalesce(F.sum("_p").over(wts), F.lit(0.0)).alias("_pb"))
-    wrow = Window.partitionBy(*g, "timestamp").orderBy("site_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = report.join(before, [*g, "timestamp"])
-    return rows.select(*g, "timestamp", "site_id",
-                       (F.col("_ab") + F.sum("actual_ac_energy_kwh").over(wrow)).alias("cumulative_actual_kwh"),
-                       (F.col("_pb") + F.sum("prediction").over(wrow)).alias("cumulative_predicted_kwh"))
+    g, sums = list(group_cols), ("actual_ac_energy_kwh", "prediction")
+    spark = report.sparkSession
+    rows = report.select(*g, "timestamp", "site_id", *sums, F.date_trunc(block, "timestamp").alias("_block"))
+    per_ts = cut_lineage(rows.groupBy(*g, "_block", "timestamp").agg(*[F.sum(c).alias(c) for c in sums]), spark)
+
+    def before(table: DataFrame, within: list[str], order: str, keys: list[str], prefix: str) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return table.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys],
+                            *[F.coalesce(F.sum(c).over(w), F.lit(0.0)).alias(f"{prefix}{c}") for c in sums])
+
+    def with_offsets(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        same = F.lit(True)
+        for k in keys:
+            same = same & left[k].eqNullSafe(right[f"{prefix}{k}"])
+        return left.join(right, same).drop(*[f"{prefix}{k}" for k in keys])
+
+    blocks = per_ts.groupBy(*g, "_block").agg(*[F.sum(c).alias(c) for c in sums])
+    rows = with_offsets(rows, before(per_ts, [*g, "_block"], "timestamp", [*g, "_block", "timestamp"], "_t_"),
+                        [*g, "_block", "timestamp"], "_t_")
+    rows = with_offsets(rows, before(blocks, g, "_block", [*g, "_block"], "_b_"), [*g, "_block"], "_b_")
+    here = Window.partitionBy(*g, "timestamp").orderBy("site_id").rowsBetween(Window.unboundedPreceding, 0)
+    total = {c: F.col(f"_b_{c}") + F.col(f"_t_{c}") + F.sum(c).over(here) for c in sums}
+    return rows.select(*g, "timestamp", "site_id", total[sums[0]].alias("cumulative_actual_kwh"),
+                       total[sums[1]].alias("cumulative_predicted_kwh"))
 
 
 # ------------------------------------------------------------------ A24

@@ -79,28 +79,31 @@ class FittedPreprocessing:
     categorical_stages: list = field(default_factory=list)
 
 
-def fit_preprocessing(train: DataFrame, numeric: list[str], *, scale: bool,
-                      categorical: list[str] = ()) -> FittedPreprocessing:
+def fill_statistics(train: DataFrame, numeric: list[str], categorical: list[str] = ()) -> dict:
+    """What preprocessing of these training rows needs besides scaling: exact medians (linear interpolation, not
+    ``ml.Imputer``'s lower-rank pick), null counts and modes.  Models of the same rows share one fit of it.
+    """
+    st = {}
+    if categorical:
+        st = train.agg(*[F.mode(F.col(c), deterministic=True).alias(f"c{j}") for j, c in enumerate(categorical)]).first().asDict()
+    if numeric:  # one row per column
+        for r in imputation_table(train, numeric).collect():
+            i = numeric.index(r["feature"])
+            st[f"m{i}"], st[f"n{i}"] = r["median"], r["train_missing_count"]
+    return st
+
+
+def fit_preprocessing(train: DataFrame, numeric: list[str], *, scale: bool, categorical: list[str] = (),
+                      statistics: dict | None = None) -> FittedPreprocessing:
     """M1 median imputation + missing indicators (columns with training NULLs;
     all-NULL columns dropped, their indicator kept), M2 optional standardising
     (population std, zero std -> 1), M3 most-frequent fill for categoricals.
-
-    One aggregate over the training rows computes every statistic; medians
-    are exact (linear interpolation), not ``ml.Imputer``'s lower-rank pick.
+    ``statistics`` are the rows' ``fill_statistics`` where the caller has them.
     """
-    aggs = []
-    for i, c in enumerate(numeric):
-        x = F.col(c).cast("double")
-        aggs.append(F.count_if(x.isNull()).alias(f"n{i}"))
-    for j, c in enumerate(categorical):
-        aggs.append(F.mode(F.col(c), deterministic=True).alias(f"c{j}"))
-    st = train.agg(*aggs).first().asDict() if aggs else {}
-    if numeric:  # exact medians by two-pass selection (one row per column)
-        for r in imputation_table(train, numeric).collect():
-            st[f"m{numeric.index(r['feature'])}"] = r["median"]
+    st = fill_statistics(train, numeric, categorical) if statistics is None else statistics
     exprs, names, dropped, indicators = [], [], [], []
     for i, c in enumerate(numeric):
-        med, nnull = st[f"m{i}"], st[f"n{i}"]
+        med, nnull = st.get(f"m{i}"), st.get(f"n{i}")
         if nnull:
             indicators.append((c, f"CAST({_q(c)} IS NULL AS DOUBLE)"))
         if med is None:
@@ -160,8 +163,8 @@ def _estimator(model_id: str, cfg: TrainingConfig, train: DataFrame, params: dic
 
 
 def fit_model(train: DataFrame, predictors: list[str], model_id: str, cfg: TrainingConfig = TrainingConfig(),
-              params: dict | None = None, categorical: list[str] = ()) -> PipelineModel:
-    """Fit one model (preprocessing included) on the training rows."""
+              params: dict | None = None, categorical: list[str] = (), statistics: dict | None = None) -> PipelineModel:
+    """Fit one model (preprocessing included) on the training rows; ``statistics`` as in ``fit_preprocessing``."""
     if model_id == "dummy_mean":
         mean = train.agg(F.avg(TARGET)).first()[0]
         sql = SQLTransformer(statement=f"SELECT *, {_num(mean)} AS prediction FROM __THIS__")
@@ -171,7 +174,8 @@ def fit_model(train: DataFrame, predictors: list[str], model_id: str, cfg: Train
         sql = SQLTransformer(statement=f"SELECT *, CAST({_q(col)} AS DOUBLE) AS prediction FROM __THIS__")
         return Pipeline(stages=[sql]).fit(train)
     numeric = [p for p in predictors if p not in categorical]
-    prep = fit_preprocessing(train, numeric, scale=(model_id == "ridge"), categorical=list(categorical))
+    prep = fit_preprocessing(train, numeric, scale=(model_id == "ridge"), categorical=list(categorical),
+                             statistics=statistics)
     stages = [SQLTransformer(statement=prep.statement), *prep.categorical_stages,
               VectorAssembler(inputCols=prep.feature_columns, outputCol="features", handleInvalid="keep"),
               _estimator(model_id, cfg, train, params)]
@@ -240,47 +244,97 @@ def fold_rows(rows: DataFrame, fold) -> tuple[DataFrame, DataFrame]:
 
 
 # What a candidate's settings can do to its own fit; anything else (a lost executor, a full disk) ends the job.
-_CANDIDATE_ERRORS = (TypeError, ValueError, ArithmeticError, IllegalArgumentException)
+_CANDIDATE_ERRORS = (TypeError, ValueError, KeyError, ArithmeticError, IllegalArgumentException)
+
+
+@dataclass
+class PreparedFold:
+    """One fold, preprocessed and assembled once for all candidates: (features, target) rows to fit on, and
+    (kept columns, features) rows to score, both written tables."""
+    number: int
+    training: DataFrame
+    validation: DataFrame
+
+
+def prepare_fold(rows: DataFrame, fold, predictors: list[str], keep: list[str]) -> PreparedFold:
+    """Preprocessing fitted on the fold's training rows alone, applied to its two parts.
+
+    The written tables have as few files as their bytes need (``rebalance`` goes by the advisory partition
+    size), so that a small fold's many boosting rounds are jobs of one task and a large fold's are spread.
+    """
+    training, validation = fold_rows(rows, fold)
+    if training.isEmpty():
+        raise ValueError(f"fold {fold['fold_number']} has no training rows")
+    prep = fit_preprocessing(training, predictors, scale=False)
+    fill = SQLTransformer(statement=prep.statement)
+    assemble = VectorAssembler(inputCols=prep.feature_columns, outputCol="features", handleInvalid="keep")
+    parts = [cut_lineage(assemble.transform(fill.transform(part)).select(*columns, "features").hint("rebalance"))
+             for part, columns in ((training, [TARGET]), (validation, keep))]
+    return PreparedFold(fold["fold_number"], *parts)
 
 
 def tune(train_rows: DataFrame, folds: DataFrame, predictors: list[str], candidates: list[dict],
-         cfg: TrainingConfig = TrainingConfig(), parallelism: int = 2, predictions_path: str | None = None) -> DataFrame:
+         cfg: TrainingConfig = TrainingConfig(), parallelism: int = 16, predictions_path: str | None = None) -> DataFrame:
     """Fit every candidate on every fold; one record per candidate and fold.
 
+    A fold is prepared once, whatever the number of candidates: its preprocessing knows nothing of them.
     Each fit writes the raw predictions of its fold (S14) to ``predictions_path``, by default a new
     folder in the shared checkpoint folder; one pass over them gives all metrics.  A record has status,
-    failure_message, durations and the fold metrics (null where the fit failed).  Fits are distributed
-    Spark jobs; a small thread pool runs several at once, like ``CrossValidator(parallelism=...)``.
+    failure_message, durations, the fold metrics, and nested beside them those of daylight hours
+    (``daylight``) and of each site (``by_site``), null where the fit failed.  A fold that can't be prepared
+    fails for every candidate.  Fits are distributed Spark jobs; a thread pool runs ``parallelism`` at once,
+    like ``CrossValidator(parallelism=...)``, since the rounds of small folds leave most cores idle.
     ``folds`` is the boundary table of W8, one row per fold.
     """
-    from pvspark.operators.metrics import fold_metrics
+    from pvspark.operators.metrics import fold_record
     spark = train_rows.sparkSession
     path = predictions_path or f"{checkpoint_dir(spark).rstrip('/')}/fold-predictions-{uuid.uuid4().hex}"
     keep = [c for c in ("site_id", "timestamp", TARGET, "is_daylight") if c in train_rows.columns]
 
-    def run(cand, fold):
-        cid, number = cand["candidate_id"], fold["fold_number"]
+    def attempt(work):
+        """(result, None), or (None, what a candidate's settings or a fold's rows did to it)."""
         try:
-            training, validation = fold_rows(train_rows, fold)
+            return work(), None
+        except _CANDIDATE_ERRORS as exc:  # recorded, not fatal
+            return None, f"{type(exc).__name__}: {exc}"
+
+    def run(job):
+        cand, number, (prepared, broken) = job
+        cid = cand["candidate_id"]
+
+        def work():
             began = time.perf_counter()
-            model = fit_model(training, predictors, "tuned_xgboost", cfg, cand["parameters"])
+            model = _estimator("tuned_xgboost", cfg, prepared.training, cand["parameters"]).fit(prepared.training)
             fitted = time.perf_counter()
-            predict(model, validation, keep).write.mode("overwrite").parquet(
-                f"{path}/candidate_id={cid}/fold_number={number}")
-            return (cid, number, "succeeded", None, fitted - began, time.perf_counter() - fitted)
-        except _CANDIDATE_ERRORS as exc:  # recorded, not fatal
-            return (cid, number, "failed", f"{type(exc).__name__}: {exc}", None, None)
+            model.transform(prepared.validation).select(*keep, F.col("prediction").cast("double").alias("prediction")) \
+                .write.mode("overwrite").parquet(f"{path}/candidate_id={cid}/fold_number={number}")
+            return fitted - began, time.perf_counter() - fitted
+
+        took, problem = (None, broken) if broken else attempt(work)
+        return (cid, number, "failed", problem, None, None) if took is None else (cid, number, "succeeded", None, *took)
 
-    jobs = [(c, f) for c in candidates for f in folds.collect()]
+    bounds = folds.collect()  # one row a fold
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(lambda a: run(*a), jobs))
+        prepared = list(pool.map(lambda f: attempt(lambda: prepare_fold(train_rows, f, predictors, keep)), bounds))
+        # the longest fits first: the last to end decide when the pool is through
+        jobs = sorted(((c, f["fold_number"], p) for c in candidates for f, p in zip(bounds, prepared, strict=True)),
+                      key=lambda job: -_boosting_work(job[0]["parameters"]))
+        rows = list(pool.map(run, jobs))
     records = spark.createDataFrame(rows, "candidate_id string, fold_number int, status string, failure_message string, "
                                           "training_duration_seconds double, prediction_duration_seconds double")
     schema = StructType([*train_rows.select(*keep).schema, StructField("prediction", DoubleType()),
                          StructField("candidate_id", StringType()), StructField("fold_number", IntegerType())])
     scored = (spark.read.schema(schema).parquet(path) if any(r[2] == "succeeded" for r in rows)
               else spark.createDataFrame([], schema))
-    return records.join(fold_metrics(scored, clip=cfg.clip_negative_predictions), ["candidate_id", "fold_number"], "left")
+    return records.join(fold_record(scored, clip=cfg.clip_negative_predictions), ["candidate_id", "fold_number"], "left")
+
+
+def _boosting_work(parameters: dict) -> float:
+    """Jobs of a fit, about: one a level of each tree."""
+    try:
+        return float(parameters["n_estimators"]) * float(parameters["max_depth"])
+    except _CANDIDATE_ERRORS:
+        return 0.0
 
 
 def candidate_summary(fold_metrics: DataFrame, candidates: DataFrame) -> DataFrame:

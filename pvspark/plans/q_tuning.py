@@ -75,6 +75,26 @@ def q_fold_metrics_daylight(spark, d):
     return rounded(M.fold_metrics(_scored(spark, d), daylight=True))
 
 
+@register("fold_record", rnd_sql(_SCORED + f"""
+SELECT f.candidate_id, f.fold_number, s.site_id, f.mae_kwh, f.median_absolute_error_kwh, f.r2, f.negative_raw_prediction_count,
+   d.mae_kwh AS daylight_mae_kwh, 100.0 * d.prediction_count / f.prediction_count AS daylight_coverage_pct, d.wape AS daylight_wape,
+   s.rmse_kwh AS site_rmse_kwh, s.median_absolute_error_kwh AS site_median_absolute_error_kwh, s.prediction_count AS site_prediction_count,
+   s.negative_raw_prediction_count AS site_negative_raw_prediction_count
+FROM ({_fold_sql("candidate_id, fold_number")}) f JOIN ({_fold_sql("candidate_id, fold_number, site_id")}) s USING (candidate_id, fold_number)
+LEFT JOIN ({QM.metrics_sql("candidate_id, fold_number", source="(SELECT * FROM long WHERE is_daylight = 1)", capacity=False)}) d
+   USING (candidate_id, fold_number)""", ["mae_kwh", "median_absolute_error_kwh", "r2", "daylight_mae_kwh", "daylight_coverage_pct",
+                                          "daylight_wape", "site_rmse_kwh", "site_median_absolute_error_kwh"]))
+def q_fold_record(spark, d):
+    """The nested record of each candidate and fold, its sites unfolded."""
+    record = M.fold_record(_scored(spark, d)).select("*", F.explode("by_site").alias("site_id", "s"))
+    return rounded(record.select(
+        "candidate_id", "fold_number", "site_id", "mae_kwh", "median_absolute_error_kwh", "r2", "negative_raw_prediction_count",
+        F.col("daylight.mae_kwh").alias("daylight_mae_kwh"), F.col("daylight.wape").alias("daylight_wape"),
+        F.col("daylight.prediction_coverage_pct").alias("daylight_coverage_pct"),
+        *[F.col(f"s.{c}").alias(f"site_{c}") for c in ("rmse_kwh", "median_absolute_error_kwh", "prediction_count",
+                                                       "negative_raw_prediction_count")]))
+
+
 _CV = _SCORED + """,
 fm AS (SELECT candidate_id, fold_number, avg(abs(prediction - ac_energy_kwh)) AS mae_kwh,
    sqrt(avg((prediction - ac_energy_kwh) * (prediction - ac_energy_kwh))) AS rmse_kwh FROM long GROUP BY ALL),

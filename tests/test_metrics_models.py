@@ -147,3 +147,21 @@ def test_registered_tuning_fits_the_default_search(spark, monkeypatch):
     monkeypatch.setattr(ML, "tune", tune)
     with pytest.raises(Reached):
         q_models.q_advanced(spark, "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("block", ["hour", "day", "month", "year"])
+def test_running_totals_in_blocks_equal_one_running_sum(spark, block):
+    from datetime import datetime, timedelta
+    import random
+    r = random.Random(2)
+    rows = [(m, datetime(2024, 11, 28) + timedelta(hours=h, minutes=r.choice([0, 0, 7, 30])), f"s{s}", float(r.randrange(9)), float(r.randrange(9)))
+            for m in ("a", "b") for h in range(0, 1700, 13) for s in range(3)]
+    rows = list({(m, t, s): (m, t, s, x, y) for m, t, s, x, y in rows}.values()) + [("a", None, "s0", 2.0, 3.0), ("a", None, "s1", 4.0, 1.0)]
+    table = spark.createDataFrame(rows, "model_identifier string, timestamp timestamp, site_id string, actual_ac_energy_kwh double, prediction double")
+    got = {tuple(x)[:3]: tuple(x)[3:] for x in M.cumulative_energy(table, block=block).collect()}
+    assert len(got) == len(rows)
+    for m in ("a", "b"):
+        a = b = 0.0
+        for _, t, s, x, y in sorted((x for x in rows if x[0] == m), key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+            a, b = a + x, b + y
+            assert got[m, t, s] == (a, b)

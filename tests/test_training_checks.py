@@ -62,6 +62,45 @@ def test_tune_records_failures_and_metrics(spark, table):
     assert got["bad"]["status"] == "failed" and got["bad"]["failure_message"] and got["bad"]["mae_kwh"] is None
 
 
+def test_folds_are_prepared_once_for_all_candidates(spark, monkeypatch):
+    from datetime import datetime, timedelta
+    began = datetime(2025, 1, 1)
+    rows = [(f"s{i % 2}", began + timedelta(hours=i // 2), float(i % 7), None if i % 5 == 0 else float(i % 11), i % 3 // 2)
+            for i in range(120)]
+    train = spark.createDataFrame(rows, "site_id string, timestamp timestamp, ac_energy_kwh double, x double, is_daylight int")
+    folds = spark.createDataFrame([(k, began + timedelta(hours=20 + 10 * k), began + timedelta(hours=21 + 10 * k),
+                                    began + timedelta(hours=25 + 10 * k)) for k in range(3)],
+                                  "fold_number int, training_end timestamp, validation_start timestamp, validation_end timestamp")
+    calls, fit = [], ML.fit_preprocessing
+    monkeypatch.setattr(ML, "fit_preprocessing", lambda rows, *a, **k: calls.append(rows) or fit(rows, *a, **k))
+    space = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1, "min_child_weight": 1.0, "subsample": 1.0,
+             "colsample_bytree": 1.0, "gamma": 0.0}
+    candidates = [{"candidate_id": f"c{n}", "parameters": space | {"n_estimators": n}} for n in (1, 2, 3, 4)]
+    got = {(r["candidate_id"], r["fold_number"]): r for r in ML.tune(train, folds, ["x"], candidates).collect()}
+    assert len(calls) == 3 and len(got) == 12 and {r["status"] for r in got.values()} == {"succeeded"}
+    # as one pipeline fitted on the same fold
+    fold = folds.where("fold_number = 1").first()
+    training, validation = ML.fold_rows(train, fold)
+    model = ML.fit_model(training, ["x"], "tuned_xgboost", params=candidates[2]["parameters"])
+    scored = ML.predict(model, validation, ["site_id", "timestamp", "ac_energy_kwh"]).collect()
+    mae = sum(abs(max(r["prediction"], 0) - r["ac_energy_kwh"]) for r in scored) / len(scored)
+    record = got["c3", 1]
+    assert record["mae_kwh"] == pytest.approx(mae)
+    assert set(record["by_site"]) == {"s0", "s1"} and record["daylight"]["prediction_count"] < record["prediction_count"]
+    assert sum(m["prediction_count"] for m in record["by_site"].values()) == record["prediction_count"] == 10
+    assert record["daylight"]["prediction_coverage_pct"] == 100 * record["daylight"]["prediction_count"] / 10
+
+
+def test_a_fold_that_cannot_be_prepared_fails_for_every_candidate(spark, table):
+    from datetime import datetime
+    folds = spark.createDataFrame([(1, datetime(1990, 1, 1), datetime(2025, 1, 1), datetime(2025, 1, 2))],
+                                  "fold_number int, training_end timestamp, validation_start timestamp, validation_end timestamp")
+    space = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1, "min_child_weight": 1.0, "subsample": 1.0,
+             "colsample_bytree": 1.0, "gamma": 0.0}
+    got = ML.tune(table, folds, ["x"], [{"candidate_id": c, "parameters": space} for c in "ab"]).collect()
+    assert [(r["status"], bool(r["failure_message"])) for r in got] == [("failed", True)] * 2
+
+
 def test_fold_metrics_count_and_clip_negative_predictions(spark):
     scored = spark.createDataFrame([("c", 1, 2.0, -3.0), ("c", 1, 1.0, 1.0)],
                                    "candidate_id string, fold_number int, ac_energy_kwh double, prediction double")
