@@ -1,8 +1,18 @@
-"""Champion / challenger registry state (W15) and artifact checksums.
+"""Champion / challenger registry state (W15) and checksums of files and models.
 
-The registry is an append-only event table ``(model_version, objective,
-action, seq, artifact_verified, selection_based_on_validation)``; current
-state is derived with windows instead of rewriting a JSON file in place.
+The registry is an append-only event table ``(model_version, objective, action, seq, artifact_verified,
+selection_based_on_validation)`` whose ``seq`` tells all events apart.  Whether an event is accepted depends on
+the state that the accepted events before it have led to:
+
+- a version is registered once, with a verified artifact, under the objective named there;
+- a promotion needs a validation-based selection, a known version that is candidate or champion, and a
+  verified artifact; it archives the champion of the version's objective;
+- an archived version stays archived.
+
+An archived version never returns, so the fold over the events has a closed form without one: the first
+promotion of a version that meets the rules always stands, and begins its reign; the reign ends with the
+next one of its objective or with the version's own archiving, and a later promotion stands within the
+reign only.  Windows run over registrations and reigns, two rows a version, not over events.
 """
 
 from __future__ import annotations
@@ -11,55 +21,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACTIONS = ("register", "promote", "archive")
+# Messages of refused events.
+REGISTERED = "model version already registered"
+UNVERIFIED = "model artifact verification failed"
+NOT_VALIDATION = "promotion must be based on validation selection"
+UNKNOWN = "unknown model version"
+NOT_CANDIDATE = "only a complete candidate can be promoted"
+UNKNOWN_ACTION = "unknown action"
+
+
+def _versions(events: DataFrame) -> DataFrame:
+    """One row a registered version: objective, ``since``, ``up`` (its reign's begin), ``down`` (its end), ``gone``
+    (its own archiving), as sequence numbers."""
+    verified = F.coalesce("artifact_verified", F.lit(False))
+    first = events.where((F.col("action") == "register") & verified).groupBy("model_version").agg(
+        F.min("seq").alias("since"), F.min_by("objective", "seq").alias("objective"))
+    later = events.drop("objective").join(first, "model_version").where(F.col("seq") > F.col("since"))
+    chosen = (F.col("action") == "promote") & verified & F.coalesce("selection_based_on_validation", F.lit(False))
+    moves = later.groupBy("model_version").agg(F.min(F.when(F.col("action") == "archive", F.col("seq"))).alias("gone"),
+                                               F.min(F.when(chosen, F.col("seq"))).alias("up"))
+    known = first.join(moves, "model_version", "left").withColumn(
+        "up", F.when(F.col("gone").isNull() | (F.col("up") < F.col("gone")), F.col("up")))
+    reigns = known.where(F.col("up").isNotNull()).select(
+        "model_version", F.lead("up").over(Window.partitionBy("objective").orderBy("up")).alias("next"))
+    return known.join(reigns, "model_version", "left").withColumn("down", F.least("next", "gone")).drop("next")
+
+
+def registry_decisions(events: DataFrame) -> DataFrame:
+    """Every event with ``problem``, why it was refused; null where it was accepted."""
+    verified, selected = (F.coalesce(c, F.lit(False)) for c in ("artifact_verified", "selection_based_on_validation"))
+    versions = _versions(events).select("model_version", "since", "gone", "down")
+    known = F.col("since").isNotNull() & (F.col("since") < F.col("seq"))
+    ended = F.coalesce(F.least("gone", "down") < F.col("seq"), F.lit(False))
+    problem = (F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), UNKNOWN_ACTION)
+               .when((F.col("action") == "register") & known, REGISTERED)
+               .when((F.col("action") == "register") & ~verified, UNVERIFIED)
+               .when((F.col("action") == "promote") & ~selected, NOT_VALIDATION)
+               .when((F.col("action") != "register") & ~known, UNKNOWN)
+               .when((F.col("action") == "promote") & ended, NOT_CANDIDATE)
+               .when((F.col("action") == "promote") & ~verified, UNVERIFIED))
+    return events.join(versions, "model_version", "left").select(*events.columns, problem.alias("problem"))
 
 
 def registry_issues(events: DataFrame) -> DataFrame:
-    """Rule violations: duplicate registration, unverified artifacts,
-    promotion not based on validation, promotion of unknown versions."""
-    reg = events.filter(F.col("action") == "register")
-    dup = reg.groupBy("model_version").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(
-        "model_version", F.lit("model version already registered").alias("problem"))
-    unverified = events.filter(F.col("action").isin("register", "promote") & ~F.coalesce("artifact_verified", F.lit(False))) \
-        .select("model_version", F.lit("model artifact verification failed").alias("problem"))
-    not_val = events.filter((F.col("action") == "promote") & ~F.coalesce("selection_based_on_validation", F.lit(False))) \
-        .select("model_version", F.lit("promotion must be based on validation selection").alias("problem"))
-    unknown = events.filter(F.col("action") != "register").join(reg.select("model_version").distinct(),
-                                                                 "model_version", "left_anti") \
-        .select("model_version", F.lit("unknown model version").alias("problem"))
-    return dup.unionByName(unverified).unionByName(not_val).unionByName(unknown)
+    """The refused events: seq, model_version, action, problem."""
+    return registry_decisions(events).where(F.col("problem").isNotNull()).select("seq", "model_version", "action", "problem")
 
 
 def registry_state(events: DataFrame) -> DataFrame:
-    """Current status per version from rule-abiding events.
+    """Current status of each registered version; refused events change nothing.
 
-    A promotion archives the previous champion of the same objective (at
-    most one champion); an explicit archive wins over an earlier promotion.
-    ``previous_champion_version`` is the champion current at registration.
-    The windows run per objective over registry events (model versions, not
-    data rows).
+    ``previous_champion_version`` is the champion of the objective when the version was registered.
     """
-    bad = registry_issues(events).select("model_version").distinct()
-    ok = events.join(bad, "model_version", "left_anti")
-    before = Window.partitionBy("objective").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    is_prom = F.col("action") == "promote"
-    ev = ok.withColumn("_champ", F.last(F.when(is_prom, F.col("model_version")), ignorenulls=True).over(before)) \
-           .withColumn("_champ_seq", F.last(F.when(is_prom, F.col("seq")), ignorenulls=True).over(before))
-    archives = ok.filter(F.col("action") == "archive").select(
-        F.col("model_version").alias("_champ"), F.col("seq").alias("_aseq"))
-    reg = ev.filter(F.col("action") == "register").join(archives, "_champ", "left")
-    reg = reg.groupBy("model_version", "objective", "_champ").agg(
-        F.max(F.when((F.col("_aseq") > F.col("_champ_seq")) & (F.col("_aseq") < F.col("seq")), 1)).alias("_gone"))
-    prev = reg.select("model_version", F.when(F.col("_gone").isNull(), F.col("_champ")).alias("previous_champion_version"))
-    per = ok.groupBy("model_version", "objective").agg(
-        F.max(F.when(is_prom, F.col("seq"))).alias("_prom"),
-        F.max(F.when(F.col("action") == "archive", F.col("seq"))).alias("_arch"))
-    last_prom = ok.filter(is_prom).groupBy("objective").agg(F.max("seq").alias("_lp"))
-    st = per.join(last_prom, "objective", "left").join(prev, "model_version", "left")
-    status = (F.when(F.col("_arch").isNotNull() & (F.col("_arch") > F.coalesce(F.col("_prom"), F.lit(-1))), F.lit("archived"))
-              .when(F.col("_prom").isNotNull() & (F.col("_prom") == F.col("_lp")), F.lit("champion"))
-              .when(F.col("_prom").isNotNull(), F.lit("archived"))
-              .otherwise(F.lit("candidate")))
-    return st.select("model_version", "objective", status.alias("status"), "previous_champion_version")
+    versions = _versions(events)
+    crowned = versions.where(F.col("up").isNotNull()).select(
+        "objective", F.col("up").alias("at"), F.struct("model_version", "down").alias("reign"), F.lit(None).alias("registered"))
+    entered = versions.select("objective", F.col("since").alias("at"), F.lit(None).alias("reign"),
+                              F.col("model_version").alias("registered"))
+    last = F.last("reign", ignorenulls=True).over(
+        Window.partitionBy("objective").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    held = F.col("reign")["down"].isNull() | (F.col("reign")["down"] > F.col("at"))
+    previous = (crowned.unionByName(entered).withColumn("reign", last).where(F.col("registered").isNotNull())
+                .select(F.col("registered").alias("model_version"),
+                        F.when(held, F.col("reign")["model_version"]).alias("previous_champion_version")))
+    status = (F.when(F.col("gone").isNotNull() | F.col("down").isNotNull(), "archived")
+              .when(F.col("up").isNotNull(), "champion").otherwise("candidate"))
+    return versions.join(previous, "model_version").select("model_version", "objective", status.alias("status"),
+                                                           "previous_champion_version")
 
 
 def file_checksums(spark, path_glob: str) -> DataFrame:

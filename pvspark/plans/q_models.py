@@ -16,7 +16,7 @@ from pvspark.plans import q_features as QF
 from pvspark.plans import q_metrics as QM
 from pvspark.plans import training as TR
 from pvspark.plans.registry import register, rnd_sql, rounded
-from pvspark.session import checkpoint_dir, cut_lineage
+from pvspark.session import checkpoint_dir, cut_lineage, table_path
 
 PREDICTORS = QF.PREDICTORS
 
@@ -128,6 +128,58 @@ def q_registry(spark, d):
     return REG.registry_state(_registry_events(spark, d))
 
 
+# A registry of many models: orders are events, customers versions and priorities objectives. Rules on the keys plant
+# second registrations, artifacts that fail, promotions without validation, of unknown and of archived versions,
+# and champions that are promoted again or archived. SQL folds the events one by one.
+_REGISTRY_SQL = """WITH RECURSIVE e AS (SELECT o_orderkey AS seq, 'v' || o_custkey AS model_version, o_orderpriority AS objective,
+   CASE WHEN o_orderkey % 7 < 3 THEN 'register' WHEN o_orderkey % 7 < 6 THEN 'promote' ELSE 'archive' END AS action,
+   o_orderkey % 5 <> 0 AS verified, o_orderkey % 11 <> 0 AS selected FROM orders),
+reg AS (SELECT model_version, min(seq) AS since, arg_min(objective, seq) AS home FROM e WHERE action = 'register' AND verified GROUP BY 1),
+j AS (SELECT e.*, since, home, CASE WHEN action = 'register' AND since < seq THEN 'model version already registered'
+      WHEN action = 'register' AND NOT verified THEN 'model artifact verification failed'
+      WHEN action = 'promote' AND NOT selected THEN 'promotion must be based on validation selection'
+      WHEN action <> 'register' AND (since IS NULL OR since > seq) THEN 'unknown model version' END AS refused
+      FROM e LEFT JOIN reg USING (model_version)),
+live AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY seq) AS i FROM j WHERE refused IS NULL),
+fold AS (SELECT DISTINCT home, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS champion, NULL::VARCHAR AS before,
+      []::VARCHAR[] AS archived, NULL::VARCHAR AS problem FROM reg
+   UNION ALL SELECT f.home, l.i, l.seq,
+      CASE WHEN action = 'archive' AND champion = l.model_version THEN NULL
+           WHEN action = 'promote' AND verified AND NOT list_contains(archived, l.model_version) THEN l.model_version ELSE champion END,
+      CASE WHEN action = 'register' THEN champion END,
+      CASE WHEN action = 'archive' AND NOT list_contains(archived, l.model_version) THEN list_append(archived, l.model_version)
+           WHEN action = 'promote' AND verified AND NOT list_contains(archived, l.model_version) AND champion <> l.model_version
+           THEN list_append(archived, champion) ELSE archived END,
+      CASE WHEN action = 'promote' AND list_contains(archived, l.model_version) THEN 'only a complete candidate can be promoted'
+           WHEN action = 'promote' AND NOT verified THEN 'model artifact verification failed' END
+   FROM fold f JOIN live l ON l.home = f.home AND l.i = f.i + 1)
+"""
+
+
+def _planted_registry(spark, d):
+    key = F.col("o_orderkey")
+    return spark.read.parquet(table_path(d, "orders")).select(
+        F.concat(F.lit("v"), "o_custkey").alias("model_version"), F.col("o_orderpriority").alias("objective"),
+        F.when(key % 7 < 3, "register").when(key % 7 < 6, "promote").otherwise("archive").alias("action"),
+        key.cast("long").alias("seq"), (key % 5 != 0).alias("artifact_verified"),
+        (key % 11 != 0).alias("selection_based_on_validation"))
+
+
+@register("registry_state_planted", _REGISTRY_SQL + """, last AS (SELECT home, max(i) AS n FROM fold GROUP BY home),
+ends AS (SELECT f.home, f.champion AS holder, f.archived AS gone FROM fold f JOIN last USING (home) WHERE f.i = n)
+SELECT reg.model_version, reg.home AS objective, CASE WHEN list_contains(gone, reg.model_version) THEN 'archived'
+   WHEN holder = reg.model_version THEN 'champion' ELSE 'candidate' END AS status, f.before AS previous_champion_version
+FROM reg JOIN ends USING (home) JOIN fold f ON f.home = reg.home AND f.seq = reg.since""")
+def q_registry_planted(spark, d):
+    return REG.registry_state(_planted_registry(spark, d))
+
+
+@register("registry_issues_planted", _REGISTRY_SQL + """SELECT seq::BIGINT AS seq, model_version, action, refused AS problem FROM j WHERE refused IS NOT NULL
+UNION ALL SELECT j.seq::BIGINT, model_version, action, problem FROM fold JOIN j USING (seq) WHERE problem IS NOT NULL""")
+def q_registry_issues_planted(spark, d):
+    return REG.registry_issues(_planted_registry(spark, d))
+
+
 @register("table_checksums")
 def q_checksums(spark, d):
     return REG.file_checksums(spark, os.path.join(d, "*.parquet"))

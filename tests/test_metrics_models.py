@@ -115,10 +115,55 @@ def test_registry_promotion_archives_previous_champion(spark):
     st = {r["model_version"]: r for r in REG.registry_state(ev).collect()}
     assert st["v1"]["status"] == "archived" and st["v2"]["status"] == "champion"
     assert st["v2"]["previous_champion_version"] == "v1"
-    assert "v3" not in st
+    assert st["v3"]["status"] == "candidate" and st["v3"]["previous_champion_version"] == "v2"
     assert {r["problem"] for r in REG.registry_issues(ev).collect()} == {"promotion must be based on validation selection"}
 
 
+def fold_registry(events):
+    """(state, problems by seq): the rules applied to one event after the other."""
+    models, problems = {}, {}
+    for version, objective, action, seq, verified, selected in sorted(events, key=lambda e: e[3]):
+        champion = {m["objective"]: v for v, m in models.items() if m["status"] == "champion"}
+        model, problem = models.get(version), None
+        if action == "register":
+            problem = REG.REGISTERED if model else None if verified else REG.UNVERIFIED
+            if not problem:
+                models[version] = {"objective": objective, "status": "candidate", "previous": champion.get(objective)}
+        elif action == "promote":
+            problem = (REG.NOT_VALIDATION if not selected else REG.UNKNOWN if not model else
+                       REG.NOT_CANDIDATE if model["status"] == "archived" else None if verified else REG.UNVERIFIED)
+            if not problem:
+                if model["objective"] in champion:
+                    models[champion[model["objective"]]]["status"] = "archived"
+                model["status"] = "champion"
+        elif action == "archive":
+            problem = None if model else REG.UNKNOWN
+            if model:
+                model["status"] = "archived"
+        else:
+            problem = REG.UNKNOWN_ACTION
+        if problem:
+            problems[seq] = problem
+    return {(v, m["objective"], m["status"], m["previous"]) for v, m in models.items()}, problems
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_registry_equals_a_fold_over_its_events(spark, seed):
+    import random
+    r = random.Random(seed)
+    events = [(f"v{r.randrange(9)}", r.choice("ab"), r.choice(["register", "register", "promote", "promote", "promote", "archive", "x"]),
+               k, r.random() < 0.8 or None, r.random() < 0.85 or None) for k in range(60)]
+    events += [(f"w{k}", "c", a, 100 + 10 * k + i, True, True) for k in range(3) for i, a in enumerate(("register", "promote"))]
+    events += [("w1", "c", "register", 200, True, True), ("w0", "c", "promote", 201, True, True), ("w2", "c", "promote", 202, True, True),
+               ("w2", "c", "archive", 203, True, True), ("w3", "c", "register", 204, True, True), ("w2", "c", "promote", 205, True, True)]
+    table = spark.createDataFrame(events, "model_version string, objective string, action string, seq long, artifact_verified boolean, "
+                                          "selection_based_on_validation boolean")
+    state, problems = fold_registry(events)
+    assert {tuple(x) for x in REG.registry_state(table).collect()} == state
+    assert {x["seq"]: x["problem"] for x in REG.registry_issues(table).collect()} == problems
+    assert {("w2", "c", "archived", "w1"), ("w3", "c", "candidate", None)} <= state and problems[201] == REG.NOT_CANDIDATE
+
+
 def test_categorical_most_frequent_and_unknown_all_zero(spark):
     train = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 3.0, 3.0), (None, 4.0, 4.0)],
                                   "c string, x double, ac_energy_kwh double")
