@@ -39,6 +39,23 @@ def test_percentiles_of_groups_of_any_size(spark, accuracy):
         assert out[k] == pytest.approx([float(np.quantile(vs, p)) for p in probs], rel=1e-12, abs=1e-12), k
 
 
+@pytest.mark.parametrize("shape", ["distinct", "ties", "heavy"])
+def test_percentiles_narrow_their_bands_until_one_task_can_order_them(spark, monkeypatch, shape):
+    from pvspark.functions import quantiles
+    calls, narrowed = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "BAND_ROWS", 4)
+    monkeypatch.setattr(quantiles, "SPLITS", 7)
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: calls.append(a) or narrowed(*a))
+    v = {"distinct": F.col("id") * 1.5, "ties": (F.col("id") % 37) * 1.0,
+         "heavy": F.when(F.col("id") % 10 < 9, 5.0).otherwise(F.col("id") * 1.0)}[shape]
+    df = spark.range(0, 6001, 1, 5).select(F.when(F.col("id") % 3 != 0, F.col("id") % 3).alias("k"), v.alias("v"))
+    probs = [0.0, 0.05, 0.3, 0.5, 2 / 3, 0.97, 1.0]
+    got = {r["k"]: list(r)[1:] for r in exact_percentiles(df, ["k"], "v", probs, accuracy=20).collect()}
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(p)).alias(f"p{i}") for i, p in enumerate(probs)]).collect()
+    assert got == {r["k"]: pytest.approx(list(r)[1:], rel=1e-12) for r in want}
+    assert len(calls) >= (3 if shape == "distinct" else 1)
+
+
 def test_g_format_is_pythons(spark):
     xs = [0.0, 1.0, -2.5, 1234.5678, 123456.5, 999999.5, 1e6, 1.5e-5, 0.00012345678, 1e-4, 455.123456, 12.3, -0.1, 9.999996]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", g_format(F.col("x")).alias("s")).collect()
