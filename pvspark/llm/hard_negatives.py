@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pvspark.llm.common import shuffle_partitions, written
 from pvspark.llm.topk import inner_products
 
-CELL_VECTORS = 1 << 15   # vectors in a cell, about
+CELL_VECTORS = 1 << 13   # vectors in a cell, about
 CELL_ANCHORS = 2048      # anchors in a cell, about
 PLANES = 6               # planes of bits of a query's coordinates
 CODED = 1024             # coordinates in the code; those beyond count to the rest

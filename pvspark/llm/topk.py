@@ -1,15 +1,19 @@
 """Exact top-k inner products, norm-sorted with rotated partial sums.
 
 The vectors are rotated by the eigenvectors of their Gram matrix (the right singular vectors of the
-vector table), so that a few leading coordinates carry most of every product. Vectors and queries
-are dealt out in cells of bounded size. In a cell vectors are taken by descending length, a block at
-a time. Cauchy-Schwarz bounds skip work exactly: a query leaves the cell when its length times the
-block's greatest length is below its k-th best score; a vector is dropped when the leading partial
-sum plus the product of the residual lengths is. What is left is scored in integers.
+vector table), so that a few leading coordinates carry most of every product. Vectors are dealt out in
+bands of descending length, queries in shards; a band and a shard make a cell of bounded size. The longest
+vectors of all give every query a first k-th best score, and a query goes only to the bands whose greatest
+length times its own reaches that score; a band that no query needs is not sent. In a cell vectors
+are taken by descending length, a block at a time. Cauchy-Schwarz bounds skip work exactly: a query
+leaves the cell when its length times the block's greatest length is below its k-th best score; a vector
+is dropped when the leading partial sum plus the product of the residual lengths is. What is left is
+scored in integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +26,20 @@ from pvspark.llm.common import shuffle_partitions, written
 CELL_VECTORS = 8192      # vectors in a cell
 CELL_QUERIES = 2048      # queries in a cell
 SEED_VECTORS = 1024      # longest vectors that give every query its first bound
+BANDS = 256              # bands of lengths, at most
 BLOCK = 512              # vectors scored together
 _LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(table: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each usable vector; an id given more than once has its least vector."""
+    """(row, vec_id, v, squares): floor(scale * x) of each usable vector and its squared length; rows are numbered."""
     x = F.col(f"`{vector_col}`").cast("array<double>")
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    squares = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
     return (table.where(F.col(f"`{id_col}`").isNotNull() & x.isNotNull() & usable)
-            .select(F.col(f"`{id_col}`").cast("long").alias("vec_id"),
+            .select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"),
                     F.transform(x, lambda c: F.floor(F.lit(scale) * c).cast("long")).alias("v"))
-            .groupBy("vec_id").agg(F.min("v").alias("v")))
+            .withColumn("squares", squares))
 
 
 def _matrix(lists, dim: int) -> np.ndarray:
@@ -116,16 +122,45 @@ def search_cell(q_ids, q, ids, v, rotation: np.ndarray, lead: int, k: int, floor
     return (np.repeat(q_ids, n), np.concatenate([b[1] for b in best]), np.concatenate([b[0] for b in best]))
 
 
+def _length_bands(vectors: DataFrame, asked: DataFrame, n: int, q_shards: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors with their shard ``i`` of a band of lengths, and queries with each (i, j) they have to see.
+
+    Bands are cut at quantiles of the squared length, BANDS at most; a band of many vectors has several shards.
+    """
+    bands = max(1, min(BANDS, -(-n // CELL_VECTORS)))
+    cuts = vectors.agg(F.percentile_approx("squares", [b / bands for b in range(1, bands)] or [0.5], 10_000)).first()[0]
+    cuts = sorted(set(cuts)) if bands > 1 else []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("squares"))) if cuts else F.lit(0)
+    vectors = vectors.withColumn("band", at)
+    sizes = vectors.groupBy("band").agg(F.count("*").alias("n"), F.max("squares").alias("most")).orderBy("band").collect()
+    rows, first = [], 0  # a row a band
+    for r in sizes:
+        shards = -(-r["n"] // CELL_VECTORS)
+        rows.append((r["band"], first, shards, math.sqrt(r["most"])))
+        first += shards
+    table = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(i).cast("long").alias("first"), F.lit(c).cast("long").alias("shards"),
+                               F.lit(m).alias("longest")) for b, i, c, m in rows])
+    of = F.filter(table, lambda t: t["band"] == F.col("band"))[0]
+    banded = vectors.select("vec_id", "v", of.alias("b"), "row").select(
+        "vec_id", "v", (F.col("b.first") + F.pmod(F.xxhash64("row"), F.col("b.shards"))).alias("i"))
+    reach = F.sqrt("squares")
+    needed = F.filter(table, lambda t: reach * t["longest"] * (1 + 1e-9) + 1e-6 >= F.col("bar"))
+    every = F.flatten(F.transform(needed, lambda t: F.sequence(t["first"], t["first"] + t["shards"] - 1)))
+    return banded, asked.select("vec_id", "v", "bar", F.explode(every).alias("i"),
+                                F.pmod(F.xxhash64("row"), F.lit(q_shards)).alias("j"))
+
+
 def top_k_search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id",
                  vector_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` highest integer inner products: query_id, rank (from 1), vec_id, score.
 
     Components are floor(``scale`` * x). Queries are the rows whose id is divisible by ``every``;
-    candidates are all rows but the query's own; ties go to the smaller vec_id; with fewer
+    candidates are all rows but those of the query's id; ties go to the smaller vec_id; with fewer
     candidates all are returned. Rows with a null id, a null vector, or null or non-finite
     components take no part. Vectors of unequal length compare as if filled up with zeros; an empty
-    vector scores 0. An id given more than once counts once, with its least vector. A score beyond
-    64 bits is the nearest long. An empty table gives an empty result; other columns are not read.
+    vector scores 0. Rows that repeat an id are candidates of their own, and a repeated query's results are
+    ranked together. A score beyond 64 bits is the nearest long. An empty table gives an empty result;
+    other columns are not read.
     """
     spark = table.sparkSession
     out = "query_id long, rank int, vec_id long, score long"
@@ -144,59 +179,63 @@ def top_k_search(table: DataFrame, k: int = 20, every: int = 20, scale: int = 64
     else:
         dim, rotation, lead = 1, np.eye(1), 1
 
-    squares = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
-    seeds = vectors.orderBy(squares.desc(), "vec_id").limit(SEED_VECTORS).collect()
+    seeds = vectors.orderBy(F.desc("squares"), "vec_id").limit(SEED_VECTORS).collect()
     seed_ids, seed = np.array([r["vec_id"] for r in seeds]), _matrix([r["v"] for r in seeds], dim)
 
-    shards, q_shards, p = -(-n // CELL_VECTORS), -(-queries // CELL_QUERIES), shuffle_partitions(spark)
-    packed = "is_vector boolean, shard long, ids binary, data binary"
+    def first_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with ``bar``, their k-th best score among the longest vectors (as a double; -inf without one)."""
+        for b in batches:
+            ids, q = b.column("vec_id").to_numpy(), _matrix(b.column("v").to_pylist(), dim)
+            first = inner_products(q, seed).astype(np.float64)
+            first[ids[:, None] == seed_ids[None, :]] = -np.inf
+            bar = np.sort(first, axis=1)[:, -k] if len(seed_ids) >= k else np.full(len(q), -np.inf)
+            bar = np.where(np.abs(bar) < 2.0 ** 53, bar, -np.inf)
+            yield pa.record_batch([*b.columns, pa.array(bar)], names=[*b.schema.names, "bar"])
+
+    asked = written(vectors.where(is_query).mapInArrow(
+        first_scores, "row long, vec_id long, v array<long>, squares double, bar double"), "top-k-queries")
+    banded, cells_of = _length_bands(vectors, asked, n, -(-queries // CELL_QUERIES))
+    p = shuffle_partitions(spark)
+    packed = "is_vector boolean, i long, j long, ids binary, data binary, bars binary"
 
     def pack(is_vector: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                shard = b.column("shard").to_numpy()
-                ids, m = b.column("vec_id").to_numpy(), _matrix(b.column("v").to_pylist(), dim)
-                which = np.unique(shard)
+                cell = np.stack([b.column("i").to_numpy(), b.column("j").to_numpy()])
+                ids, m, bars = b.column("vec_id").to_numpy(), _matrix(b.column("v").to_pylist(), dim), b.column("bar").to_numpy()
+                which, of = np.unique(cell, axis=1, return_inverse=True)
+                parts = [of.reshape(-1) == w for w in range(which.shape[1])]
                 yield pa.record_batch([
-                    pa.array([is_vector] * len(which)), pa.array(which, pa.int64()),
-                    pa.array([ids[shard == w].tobytes() for w in which], pa.binary()),
-                    pa.array([m[shard == w].tobytes() for w in which], pa.binary()),
-                ], names=["is_vector", "shard", "ids", "data"])
+                    pa.array([is_vector] * len(parts)), pa.array(which[0]), pa.array(which[1]),
+                    *(pa.array([x[part].tobytes() for part in parts], pa.binary()) for x in (ids, m, bars)),
+                ], names=["is_vector", "i", "j", "ids", "data", "bars"])
         return run
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {True: ([], []), False: ([], [])}
+        key, held = None, {True: ([], [], []), False: ([], [], [])}
 
         def closed() -> Iterator[pa.RecordBatch]:
             if held[True][0] and held[False][0]:
-                (q_ids, q), (ids, v) = ((np.concatenate([np.frombuffer(x, "i8") for x in held[side][0]]),
-                                         np.concatenate([np.frombuffer(x, "i8").reshape(-1, dim)
-                                                         for x in held[side][1]])) for side in (False, True))
-                first = inner_products(q, seed).astype(np.float64)
-                first[q_ids[:, None] == seed_ids[None, :]] = -np.inf
-                floor = np.sort(first, axis=1)[:, -k] if len(seed_ids) > k else np.full(len(q), -np.inf)
-                floor = np.where(np.abs(floor) < 2.0 ** 53, floor, -np.inf)
-                found = search_cell(q_ids, q, ids, v, rotation, lead, k, floor)
+                (q_ids, q, bar), (ids, v, _) = ((np.concatenate([np.frombuffer(x, "i8") for x in held[side][0]]),
+                                                 np.concatenate([np.frombuffer(x, "i8").reshape(-1, dim) for x in held[side][1]]),
+                                                 np.concatenate([np.frombuffer(x, "f8") for x in held[side][2]]))
+                                                for side in (False, True))
+                found = search_cell(q_ids, q, ids, v, rotation, lead, k, bar)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("i", "j", "is_vector", "ids", "data")]
-            for i, j, side, ids, data in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("i", "j", "is_vector", "ids", "data", "bars")]
+            for i, j, side, *parts in zip(*cols, strict=True):
                 if (i, j) != key:
                     yield from closed()
-                    key, held = (i, j), {True: ([], []), False: ([], [])}
-                held[side][0].append(ids)
-                held[side][1].append(data)
+                    key, held = (i, j), {True: ([], [], []), False: ([], [], [])}
+                for of, x in zip(held[side], parts, strict=True):
+                    of.append(x)
         yield from closed()
 
-    def sharded(rows: DataFrame, count: int, is_vector: bool) -> DataFrame:
-        rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("shard"), "vec_id", "v")
-        return rows.repartition(min(p, count), "shard").mapInArrow(pack(is_vector), packed)
-
-    every_shard = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    blocks = sharded(vectors, shards, True).select("*", every_shard(q_shards).alias("j")).withColumnRenamed("shard", "i")
-    asked = sharded(vectors.where(is_query), q_shards, False).select("*", every_shard(shards).alias("i"))
-    both = blocks.unionByName(asked.withColumnRenamed("shard", "j"))
+    sent = banded.join(cells_of.select("i", "j").distinct(), "i").withColumn("bar", F.lit(0.0))
+    both = (sent.select("i", "j", "vec_id", "v", "bar").mapInArrow(pack(True), packed)
+            .unionByName(cells_of.select("i", "j", "vec_id", "v", "bar").mapInArrow(pack(False), packed)))
     found = (both.repartition(p, "i", "j").sortWithinPartitions("i", "j")
              .mapInArrow(cells, "query_id long, vec_id long, score long"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -146,20 +146,40 @@ def test_components_of_random_edges(spark, monkeypatch, task):
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_top_k_sends_queries_only_to_bands_of_long_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_VECTORS", 100)
+    monkeypatch.setattr(topk, "SEED_VECTORS", 50)
+    seen, bands = [], topk._length_bands
+    monkeypatch.setattr(topk, "_length_bands", lambda *a: seen.append(bands(*a)) or seen[-1])
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(size=6) * 0.99 ** i]) for i in range(1000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk.top_k_search(table, k=5).collect()]
+    ok = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = [(q, k + 1, c, score) for q in range(0, 1000, 20) for k, (score, c) in enumerate(sorted(
+        ((sum(a * b for a, b in zip(ok[q], v)), c) for c, v in ok.items() if c != q), key=lambda x: (-x[0], x[1]))[:5])]
+    assert sorted(got) == sorted(want)
+    banded, asked = seen[0]
+    assert banded.select("i").distinct().count() >= 10 and banded.count() == 1000
+    assert asked.count() < 0.5 * 50 * 10  # cells a query has to see, of all of them
+
+
 def test_top_k_with_ties_bad_vectors_and_unequal_lengths(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in r.normal(size=8)], 1) for i in range(90)]
     rows += [(100, [1.0, 1.0], 1), (101, [1.0, 1.0], 1), (120, [], 1), (140, None, 1), (160, [None, 1.0], 1),
              (180, [float("nan")], 1), (200, [float("inf")], 1), (None, [1.0], 1), (20, rows[20][1], 1), (220, [1e17] * 8, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
+    rows += [(7, [0.5, 0.0], 1), (7, [2.0, 0.0], 1), (40, [3.0] * 8, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = [tuple(x) for x in topk.top_k_search(table, k=5).collect()]
-    ok = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in rows if i is not None and i not in (140, 160, 180, 200)}
-    ok[220] = [min(x, 2 ** 63 - 1) for x in ok[220]]
+    ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v, _ in rows if i is not None and i not in (140, 160, 180, 200)]
+    ok = [(i, [min(x, 2 ** 63 - 1) for x in v]) for i, v in ok]
     want = []
-    for q in (i for i in ok if i % 20 == 0):
-        score = {c: max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(ok[q], v)))) for c, v in ok.items() if c != q}
-        best = sorted(score, key=lambda c: (-score[c], c))[:5]
-        want += [(q, k + 1, c, score[c]) for k, c in enumerate(best)]
+    for q in {i for i, _ in ok if i % 20 == 0}:
+        found = sorted((-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(x, v)))), c)
+                       for i, x in ok if i == q for c, v in ok if c != q)
+        want += [(q, k + 1, c, -score) for k, (score, c) in enumerate(found[:5])]
     assert sorted(got) == sorted(want)
     assert topk.top_k_search(table.limit(0)).count() == 0
 
