@@ -331,7 +331,9 @@ def pseudonymize_documents(documents: DataFrame, key: bytes, text_col: str = "te
     All columns stay; with ``count``, one column n_<kind> for each of KINDS follows (a column of that
     name in the input gives way). A null text stays null, an empty one empty; values that fail their
     check and all other text stay as they are. Equal values, written with any separators, have equal
-    digits in every document, except where the numbers beside one would be read otherwise then. ``key`` is the secret of the permutation: 1 to 64 bytes.
+    digits in every document, except where the numbers beside one would be read otherwise then. Every row
+    stays, repeated ones with equal results; an empty table gives an empty result. ``key`` is the secret of
+    the permutation: 1 to 64 bytes.
     """
     if not 1 <= len(key) <= 64:
         raise ValueError("the key must have 1 to 64 bytes")

@@ -493,6 +493,14 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark, tmp_path):
     assert sorted(map(tuple, out), key=str) == sorted([rows[0], rows[2], *rows[4:7]], key=str)
 
 
+def test_near_duplicate_stage_keeps_a_column_with_the_name_of_its_places(spark, tmp_path):
+    rows = [(1, words(40, 5), "a", 7), (2, words(40, 5), "b", 7), (None, None, "c", None), (3, "", "d", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, _Place string, _place_ long").write.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{tmp_path}/docs"), SMOKE)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert out.columns == ["doc_id", "text", "_Place", "_place_"] and len(got) == 3 and set(got) < set(rows)
+
+
 def test_near_duplicate_stage_keeps_the_same_rows_when_files_are_cut_anew(spark, tmp_path, monkeypatch):
     rows = [(i, TEXTS[6] if i % 2 else words(40, 1000 + i)) for i in range(64)]
     spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id").write.parquet(f"{tmp_path}/docs")
