@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pvspark.functions import is_finite
+from pvspark.operators import sequence as S
 from pvspark.schema import TARGET
 
 SPLITS = ("train", "validation", "test")
-KEYS = ("site_id", "timestamp")
+KEYS = ("timestamp", "site_id")
 METADATA = ("split", "feature_eligible", "feature_missing_count", "feature_missing_reasons")
 # Columns that must never be predictors.
 FORBIDDEN_PREDICTORS = ("ac_energy_kwh", "timestamp", "site_id", "split", "feature_eligible",
@@ -51,11 +52,24 @@ def contract_issues(df: DataFrame, predictors: list[str], horizon: int = 24, *,
     return [text for broken, text in found if broken]
 
 
-def row_issues(df: DataFrame, predictors: list[str], minimum_rows: dict[str, int] | None = None) -> DataFrame:
+def order_violations(df: DataFrame, position: str = "source_row", block_rows: int = S.DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Rows whose timestamp is before that of their site's row in front of them.
+
+    A Spark table has no order of its own, so ``position`` names the column that tells the input's order
+    (``source_row`` of a CSV).  Only neighbours are compared, also across the borders of blocks.  Rows without
+    site, timestamp or position take no part; equal timestamps are in order (they are ``duplicate_key``)."""
+    rows = df.where(F.col("site_id").isNotNull() & F.col("timestamp").isNotNull() & F.col(position).isNotNull())
+    seen = S.with_previous_row(rows.select("site_id", "timestamp", position), position, ["timestamp"], block_rows)
+    return seen.where(F.col("timestamp") < F.col("prev_timestamp")).select(
+        "site_id", position, "timestamp", F.col("prev_timestamp").alias("previous_timestamp"))
+
+
+def row_issues(df: DataFrame, predictors: list[str], minimum_rows: dict[str, int] | None = None,
+               position: str | None = None) -> DataFrame:
     """Row checks over all rows: keys present and unique, target finite and >= 0, split labels,
-    no infinite predictor, and ``minimum_rows`` eligible rows a split; one row per failing check with
-    the number of rows that fail it (that are missing, for a minimum).  A Spark table has no row
-    order, so order within a site is not an input property here."""
+    no infinite predictor, ``minimum_rows`` eligible rows a split, and, where a ``position`` column tells
+    the input's order, timestamps in order within each site; one row per failing check with the number of
+    rows that fail it (that are missing, for a minimum)."""
     checks = [("null_key", F.col("site_id").isNull() | F.col("timestamp").isNull()),
               ("invalid_target", F.col(TARGET).isNull() | ~is_finite(F.col(TARGET)) | (F.col(TARGET) < 0)),
               ("invalid_split_label", F.col("split").isNull() | ~F.col("split").isin(list(SPLITS)))]
@@ -74,15 +88,23 @@ def row_issues(df: DataFrame, predictors: list[str], minimum_rows: dict[str, int
     dup = df.groupBy("site_id", "timestamp").agg(F.count("*").alias("n")).agg(
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows")).select(
         F.lit("duplicate_key").alias("issue"), "rows")
-    return long.unionByName(dup).filter(F.col("rows") > 0)
+    found = long.unionByName(dup)
+    if position is not None:
+        found = found.unionByName(order_violations(df, position).agg(F.count("*").alias("rows")).select(
+            F.lit("not_sorted_within_site").alias("issue"), "rows"))
+    return found.filter(F.col("rows") > 0)
 
 
 def check_training_table(df: DataFrame, predictors: list[str], manifest: dict | None = None,
                          minimum_rows: dict[str, int] | None = None) -> None:
-    """V15 and V16 before a training job: raise ValueError with everything that is wrong."""
-    wrong = contract_issues(df, predictors, manifest=manifest, row_count=None if manifest is None else df.count())
+    """V15 and V16 before a training job: raise ValueError with everything that is wrong.
+
+    A ``source_row`` column, where the table has one, is its order."""
+    wrong = contract_issues(df.drop("source_row"), predictors, manifest=manifest,
+                            row_count=None if manifest is None else df.count())
+    position = "source_row" if "source_row" in df.columns else None
     if not wrong:  # one row a check
-        wrong = [f"{r['issue']}: {r['rows']} rows" for r in row_issues(df, predictors, minimum_rows).collect()]
+        wrong = [f"{r['issue']}: {r['rows']} rows" for r in row_issues(df, predictors, minimum_rows, position).collect()]
     if wrong:
         raise ValueError("; ".join(wrong))
 

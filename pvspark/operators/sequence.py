@@ -16,6 +16,7 @@ from pvspark.schema import HOUR_US
 
 US, BLK = "_us", "_b"
 DEFAULT_BLOCK_HOURS = 720
+DEFAULT_BLOCK_ROWS = 1 << 20
 
 
 def _blocks(df: DataFrame, block_hours: int, ts: str = "timestamp") -> DataFrame:
@@ -26,7 +27,17 @@ def _blocks(df: DataFrame, block_hours: int, ts: str = "timestamp") -> DataFrame
 def with_previous(df: DataFrame, value_cols: list[str], block_hours: int = DEFAULT_BLOCK_HOURS,
                   site: str = "site_id", ts: str = "timestamp") -> DataFrame:
     """Add ``prev_us`` and ``prev_<c>`` (previous row of the same site by time)."""
-    d = _blocks(df, block_hours, ts)
+    return _previous(_blocks(df, block_hours, ts), value_cols, site)
+
+
+def with_previous_row(df: DataFrame, position: str, value_cols: list[str], block_rows: int = DEFAULT_BLOCK_ROWS,
+                      site: str = "site_id") -> DataFrame:
+    """The same along a table's own order: ``position`` is a row's number, and a block is a range of numbers."""
+    d = df.withColumn(US, F.col(position).cast("long")).withColumn(BLK, F.floor(F.col(US) / F.lit(block_rows)))
+    return _previous(d, value_cols, site)
+
+
+def _previous(d: DataFrame, value_cols: list[str], site: str) -> DataFrame:
     summ = d.groupBy(site, BLK).agg(
         F.max(US).alias("_last_us"), *[F.max_by(c, US).alias(f"_last_{c}") for c in value_cols])
     wb = Window.partitionBy(site).orderBy(BLK)

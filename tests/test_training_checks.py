@@ -17,7 +17,7 @@ def table(spark):
 
 
 def manifest(**changes):
-    return {"target_column": "ac_energy_kwh", "key_columns": ["site_id", "timestamp"], "predictor_columns": ["x"],
+    return {"target_column": "ac_energy_kwh", "key_columns": ["timestamp", "site_id"], "predictor_columns": ["x"],
             "forecast_horizon_hours": 24, "metadata_columns": list(PR.METADATA), "numerical_columns": ["x"],
             "categorical_columns": [], "boolean_columns": [], "output_row_count": 8, "source_row_count": 9} | changes
 
@@ -27,7 +27,7 @@ def test_a_sound_table_passes(table):
 
 
 @pytest.mark.parametrize("change, word", [
-    ({"target_column": "y"}, "target"), ({"key_columns": ["timestamp", "site_id"]}, "keys"),
+    ({"target_column": "y"}, "target"), ({"key_columns": ["site_id", "timestamp"]}, "keys"),
     ({"predictor_columns": ["x", "z"]}, "predictors"), ({"forecast_horizon_hours": 12}, "horizon"),
     ({"metadata_columns": ["split"]}, "metadata"), ({"categorical_columns": ["x"]}, "two type groups"),
     ({"numerical_columns": []}, "type groups differ"), ({"expected_data_types": {"x": "double"}}, "expected_data_types"),
