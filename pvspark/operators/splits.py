@@ -140,6 +140,33 @@ def check_split_plan(df: DataFrame, periods: list[tuple[str, object, object]],
     return out
 
 
+def plan_count_issues(df: DataFrame, plan: DataFrame) -> DataFrame:
+    """Where the counts of a split plan (``io.read_split_plan``) differ from those of a labelled table.
+
+    One row per period for its ``record_count``, and one per site for ``counts_by_site``: a wrong count, a site
+    that the plan leaves out (``planned_count`` null) or one that the period does not have (``actual_count`` null).
+    Counts that are no integer or no map differ from everything.
+    """
+    actual = df.where(F.col("site_id").isNotNull()).groupBy("split", F.col("site_id").cast("string")).agg(
+        F.count("*").alias("actual_count"))
+    rows = df.groupBy("split").agg(F.count("*").alias("actual_count"))
+    totals = plan.where("has_record_count").join(rows, "split", "left").select(
+        "period", F.lit("record_count").alias("what"), F.lit(None).cast("string").alias("site_id"),
+        F.col("record_count").alias("planned_count"), F.coalesce("actual_count", F.lit(0)).alias("actual_count"))
+    named = plan.where("counts_by_site IS NOT NULL")
+    planned = named.select("period", "split", F.explode("counts_by_site").alias("site_id", "planned_count"))
+    sites = planned.join(actual.join(named.select("period", "split"), "split"), ["period", "split", "site_id"], "full").select(
+        "period", F.lit("counts_by_site").alias("what"), "site_id", "planned_count", "actual_count")
+    unread = plan.where("has_counts_by_site AND counts_by_site IS NULL").select(
+        "period", F.lit("counts_by_site").alias("what"), *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("site_id", "string"), ("planned_count", "long"), ("actual_count", "long"))])
+    differs = ~F.col("planned_count").eqNullSafe(F.col("actual_count"))
+    return totals.unionByName(sites).where(differs).unionByName(unread).select(
+        F.lit("split_plan_dataset_mismatch").alias("code"),
+        F.concat("period", F.lit(" "), "what", F.lit(" does not match the input dataset.")).alias("message"),
+        "site_id", "planned_count", "actual_count")
+
+
 def split_order_checks(df: DataFrame, minimum_rows: dict[str, int] | None = None) -> DataFrame:
     """Minimum rows per split and train.end < val.start <= val.end < test.start."""
     s = df.groupBy("split").agg(F.count("*").alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"))

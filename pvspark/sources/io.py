@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,32 +87,54 @@ def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
 SPLIT_PLAN_NAMES = {"training": "train", "validation": "validation", "testing": "test"}
 
 
+def _plan_error(message: str) -> R.DataValidationError:
+    return R.DataValidationError([{"code": "invalid_split_plan", "message": message, "column": None, "rows": None}])
+
+
+def read_split_plan(spark: SparkSession, path: str) -> DataFrame:
+    """A split-plan JSON as one row per period of the plan.
+
+    ``period`` and ``split`` are its names in plan and feature table; ``start`` and ``end`` texts; ``record_count`` and
+    ``counts_by_site`` (a map) are null where absent or of another type, which ``has_record_count`` and
+    ``has_counts_by_site`` tell apart.  A file that is no plan has no row.
+    """
+    doc = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("plan"))
+
+    def at(period: str, field: str, kind: str) -> Column:
+        return F.try_variant_get("plan", f"$.periods.{period}.{field}", kind)
+
+    def given(period: str, field: str, *kinds: str) -> Column:
+        shape = F.schema_of_variant(at(period, field, "variant"))
+        return F.when(shape != "VOID", shape.rlike("^(" + "|".join(kinds) + ")")) if kinds else shape != "VOID"
+
+    periods = [F.when(F.schema_of_variant(F.try_variant_get("plan", f"$.periods.{p}", "variant")).startswith("OBJECT"), F.struct(
+        F.lit(p).alias("period"), F.lit(name).alias("split"),
+        at(p, "beginning_timestamp", "string").alias("start"), at(p, "ending_timestamp", "string").alias("end"),
+        F.when(given(p, "record_count", "BIGINT"), at(p, "record_count", "bigint")).alias("record_count"),
+        F.coalesce(given(p, "record_count"), F.lit(False)).alias("has_record_count"),
+        F.when(given(p, "counts_by_site", "OBJECT"), at(p, "counts_by_site", "map<string, bigint>")).alias("counts_by_site"),
+        F.coalesce(given(p, "counts_by_site"), F.lit(False)).alias("has_counts_by_site")))
+        for p, name in SPLIT_PLAN_NAMES.items()]
+    return doc.select(F.explode(F.array_compact(F.array(*periods))).alias("p")).select("p.*")
+
+
 def load_split_plan(spark: SparkSession, path: str) -> list[tuple[str, object, object, int | None]]:
     """Split-plan JSON -> [(feature split name, start, end, record_count)].
 
-    The plan holds three periods; it is read by Spark and collected (three
-    rows).  Boundaries must carry a zone (V19)."""
-    raw = spark.read.option("multiLine", True).json(path)
-    if "periods" not in raw.columns:
-        raise R.DataValidationError([{"code": "invalid_split_plan", "message": "Split plan must contain a periods object.",
-                                      "column": None, "rows": None}])
-    row = raw.select("periods").first()["periods"].asDict(recursive=True)
-    out = []
-    for src, name in SPLIT_PLAN_NAMES.items():
-        p = row.get(src)
-        if not isinstance(p, dict):
-            raise R.DataValidationError([{"code": "invalid_split_plan", "message": f"Missing {src} period.",
-                                          "column": None, "rows": None}])
-        start, end = p.get("beginning_timestamp"), p.get("ending_timestamp")
-        out.append((name, start, end, p.get("record_count")))
-    parsed = spark.createDataFrame([(n, s, e) for n, s, e, _ in out], "name string, s string, e string").select(
-        "name", R.parse_utc(F.col("s")).alias("start"), R.parse_utc(F.col("e")).alias("end"),
-        (R.has_zone(F.col("s")) & R.has_zone(F.col("e"))).alias("zoned")).collect()
-    if not all(r["zoned"] for r in parsed):
-        raise R.DataValidationError([{"code": "invalid_split_plan", "message": "Split boundaries must be timezone-aware.",
-                                      "column": None, "rows": None}])
-    by = {r["name"]: r for r in parsed}
-    return [(n, by[n]["start"], by[n]["end"], rc) for n, _, _, rc in out]
+    The plan holds three periods, which are collected; counts by site stay in :func:`read_split_plan`.
+    Boundaries must carry a zone (V19)."""
+    rows = read_split_plan(spark, path).select(
+        "period", "split", R.parse_utc(F.col("start")).alias("start"), R.parse_utc(F.col("end")).alias("end"), "record_count",
+        (R.has_zone(F.col("start")) & R.has_zone(F.col("end"))).alias("zoned")).collect()
+    found = {r["period"]: r for r in rows}
+    if not found:
+        raise _plan_error("Split plan must contain a periods object.")
+    for period in SPLIT_PLAN_NAMES:
+        if period not in found:
+            raise _plan_error(f"Missing {period} period.")
+    if not all(r["zoned"] for r in rows):
+        raise _plan_error("Split boundaries must be timezone-aware.")
+    return [(found[p]["split"], found[p]["start"], found[p]["end"], found[p]["record_count"]) for p in SPLIT_PLAN_NAMES]
 
 
 def load_feature_dataset(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -130,10 +152,23 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def write_manifest(record: DataFrame, path: str) -> None:
+    """A one-row nested record as a JSON object in one file."""
+    json_safe(record).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def load_manifest(spark: SparkSession, path: str) -> dict:
-    """Feature manifest (one JSON object) as a dict."""
-    row = spark.read.option("multiLine", True).json(path).first()
-    return row.asDict(recursive=True) if row else {}
+    """Feature manifest (one JSON object) as a dict; no schema is inferred, so maps stay maps.
+
+    The manifest is one object of the size of the column list and the number of sites."""
+    texts = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    try:
+        found = [json.loads(r["value"]) for r in texts if r["value"].strip()]
+    except ValueError as broken:
+        raise ValueError(f"invalid feature manifest {path}: {broken}") from broken
+    if len(found) != 1 or not isinstance(found[0], dict):
+        raise ValueError(f"a feature manifest is one JSON object: {path}")
+    return found[0]
 
 
 def json_safe(df: DataFrame) -> DataFrame:
