@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import zoneinfo
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,41 +30,108 @@ SITE_BOUNDS = {
 }
 
 
-def read_sites(spark, path: str) -> DataFrame:
-    """One JSON object per site file (unknown keys surface in V12)."""
-    return spark.read.option("multiLine", True).json(path)
+# Texts of the site contract.
+UNREADABLE = "could not read site configuration"
+NOT_OBJECT = "must be a JSON object"
+REQUIRED_FIELD = "field required"
+EXTRA_FIELD = "extra inputs are not permitted"
+
+
+class SiteConfigurationError(ValueError):
+    pass
+
+
+def _value_checks(values: dict[str, Column]) -> list[tuple[str, str, Column]]:
+    """(field, problem, condition) for the contract's fields among ``values``."""
+    checks = []
+    for c, v in values.items():
+        if c == "site_id":
+            checks.append((c, "must be a non-empty string", v.isNull() | (v == "")))
+        elif c == "timezone":
+            checks.append((c, "must be a valid IANA timezone",
+                           v.isNull() | ~v.isin(sorted(zoneinfo.available_timezones()))))
+        else:
+            checks.append((c, "must be a finite number", ~is_finite(v)))
+            if c in SITE_BOUNDS:
+                lo, hi = SITE_BOUNDS[c]
+                checks.append((c, f"must be between {lo:g} and {hi:g}", is_finite(v) & ((v < lo) | (v > hi))))
+            if c == "installed_capacity_kwp":
+                checks.append((c, "must be greater than 0", is_finite(v) & (v <= 0)))
+    return checks
+
+
+def _problem(field: str, text: str, broken: Column) -> Column:
+    return F.when(broken, F.struct(F.lit(field).alias("field"), F.lit(text).alias("problem")))
+
+
+def parse_site_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path`` as one row: ``file``, ``issues`` (field, problem) and the ``site`` it describes.
+
+    Nothing is inferred: a file is read as one text and parsed as strict JSON, its keys are held against the
+    contract, and each value is cast by itself, so an unknown key or a malformed file is a row with issues and never
+    a column or a failed job.  Numbers may come as text, a site id may not come as a number.  Spark's file sources
+    leave files of no bytes out: their sites are missing from the dimension, which V14 reports.
+    """
+    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    doc = F.when(F.is_valid_utf8("text"), F.try_parse_json("text"))
+    files = files.withColumn("doc", doc).withColumn(
+        "keys", F.when(F.schema_of_variant("doc").startswith("OBJECT"), F.json_object_keys("text")))
+    keys = F.col("keys")
+
+    def value(c: str) -> Column:
+        wanted = "double" if SITE_SCHEMA[c].dataType == T.DoubleType() else "string"
+        got = F.try_variant_get("doc", f"$.{c}", wanted)
+        if wanted == "string":
+            text = F.schema_of_variant(F.try_variant_get("doc", f"$.{c}", "variant")) == "STRING"
+            got = F.when(text, F.trim(got))
+        return got
+
+    values = {c: value(c) for c in SITE_FIELDS}
+    checks = [_problem(c, text, F.array_contains("keys", c) & broken) for c, text, broken in _value_checks(values)]
+    checks += [_problem(c, REQUIRED_FIELD, ~F.array_contains("keys", c)) for c in SITE_FIELDS]
+    extra = F.transform(F.array_except(keys, F.array(*[F.lit(c) for c in SITE_FIELDS])),
+                        lambda k: F.struct(k.alias("field"), F.lit(EXTRA_FIELD).alias("problem")))
+    whole = F.array_compact(F.array(_problem("file", UNREADABLE, F.col("doc").isNull()),
+                                    _problem("file", NOT_OBJECT, F.col("doc").isNotNull() & keys.isNull())))
+    issues = F.when(keys.isNull(), whole).otherwise(F.concat(F.array_compact(F.array(*checks)), extra))
+    return files.select("file", issues.alias("issues"), F.struct(*[v.alias(c) for c, v in values.items()]).alias("site"))
+
+
+def site_file_issues(parsed: DataFrame) -> DataFrame:
+    """One row per (file, field, problem) of :func:`parse_site_files`."""
+    return parsed.select("file", F.explode("issues").alias("i")).select("file", "i.field", "i.problem")
+
+
+def valid_sites(parsed: DataFrame) -> DataFrame:
+    """The site dimension: typed rows of the files without issues."""
+    return parsed.where(F.size("issues") == 0).select("site.*")
+
+
+def read_sites(spark: SparkSession, path: str) -> DataFrame:
+    """The site dimension of a folder of JSON files; any issue is an error that names the first ten."""
+    try:
+        parsed = parse_site_files(spark, path)
+    except AnalysisException as missing:
+        raise SiteConfigurationError(f"Site configuration does not exist: {path}") from missing
+    found = site_file_issues(parsed).orderBy("file", "field", "problem").limit(10).collect()
+    if found:
+        raise SiteConfigurationError("Invalid site configuration: " + "; ".join(
+            f"{r['file']}: {r['field']} {r['problem']}" for r in found))
+    return valid_sites(parsed)
 
 
 def site_issues(sites: DataFrame) -> DataFrame:
     """One row per (site_id, field, problem)."""
-    unknown = [c for c in sites.columns if c not in SITE_FIELDS and not c.startswith("_")]
-    missing = [c for c in SITE_FIELDS if c not in sites.columns]
-    zones = sorted(zoneinfo.available_timezones())
-    checks = []
-    sid = F.trim(F.col("site_id").cast("string")) if "site_id" in sites.columns else F.lit(None)
-    for c in missing:
-        checks.append((c, "field required", F.lit(True)))
-    if "site_id" in sites.columns:
-        checks.append(("site_id", "must be a non-empty string", sid.isNull() | (sid == "")))
-    for c in ("latitude", "longitude", "installed_capacity_kwp", "panel_tilt_degrees", "panel_azimuth_degrees"):
-        if c not in sites.columns:
-            continue
-        x = F.col(c).cast("double")
-        checks.append((c, "must be a finite number", ~is_finite(x)))
-        if c in SITE_BOUNDS:
-            lo, hi = SITE_BOUNDS[c]
-            checks.append((c, f"must be between {lo:g} and {hi:g}", is_finite(x) & ((x < lo) | (x > hi))))
-    if "installed_capacity_kwp" in sites.columns:
-        x = F.col("installed_capacity_kwp").cast("double")
-        checks.append(("installed_capacity_kwp", "must be greater than 0", is_finite(x) & (x <= 0)))
-    if "timezone" in sites.columns:
-        checks.append(("timezone", "must be a valid IANA timezone",
-                       F.col("timezone").isNull() | ~F.col("timezone").isin(zones)))
-    for c in unknown:
-        checks.append((c, "extra inputs are not permitted", F.col(c).isNotNull()))
-    arr = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(f).alias("field"), F.lit(p).alias("problem")))
-                                    for f, p, cond in checks]))
-    return sites.select(sid.alias("site_id"), F.explode(arr).alias("i")).select("site_id", "i.field", "i.problem")
+    sid = F.trim(F.col("site_id").cast("string")) if "site_id" in sites.columns else F.lit(None).cast("string")
+    values = {c: sid if c == "site_id" else F.col(c) if c == "timezone" else F.col(c).cast("double")
+              for c in SITE_FIELDS if c in sites.columns}
+    checks = [_problem(c, REQUIRED_FIELD, F.lit(True)) for c in SITE_FIELDS if c not in sites.columns]
+    checks += [_problem(c, text, broken) for c, text, broken in _value_checks(values)]
+    checks += [_problem(c, EXTRA_FIELD, F.col(c).isNotNull())
+               for c in sites.columns if c not in SITE_FIELDS and not c.startswith("_")]
+    return sites.select(sid.alias("site_id"), F.explode(F.array_compact(F.array(*checks))).alias("i")).select(
+        "site_id", "i.field", "i.problem")
 
 
 def registry_issues(sites: DataFrame) -> DataFrame:
