@@ -423,11 +423,17 @@ def global_rank(df: DataFrame, order: list[str], name: str, partitions: int | No
 
 
 # ------------------------------------------------------------------ M14 / M15
-def tree_importance(spark, model: PipelineModel, names: list[str]) -> DataFrame:
-    """Split-gain importance of a tree ensemble (normalised by Spark);
-    one value per model feature (a model-size table, not data-sized)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, gain double")
+def tree_importance(spark, path: str, names: list[str]) -> DataFrame:
+    """Mean gain of a feature's splits and their number (``weight``) in the saved ensemble at ``path``.
+
+    The trees are read as the table of nodes that the saved model is; a feature without a split has zeros.
+    ``names`` are the model's features in their order, a table of the model's size."""
+    nodes = spark.read.parquet(f"{path.rstrip('/')}/stages/*_*/data").select("nodeData.*")
+    splits = nodes.where(F.col("leftChild") >= 0).groupBy(F.col("split.featureIndex").alias("i")).agg(
+        F.avg("gain").alias("gain"), F.count("*").alias("weight"))
+    features = spark.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return features.join(splits, "i", "left").select("feature", F.coalesce("gain", F.lit(0.0)).alias("gain"),
+                                                     F.coalesce("weight", F.lit(0)).cast("double").alias("weight"))
 
 
 def save_and_verify(model: PipelineModel, path: str, rows: DataFrame, key: list[str] = ("site_id", "timestamp"),

@@ -96,3 +96,20 @@ def file_checksums(spark, path_glob: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path_glob).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), F.col("length").alias("bytes"),
         F.sha2(F.col("content"), 256).alias("sha256"))
+
+
+def artifact_checksum(spark, path: str) -> DataFrame:
+    """One row for a saved model: ``files``, ``bytes`` and the SHA-256 over its files' names and digests in
+    the order of their names (a model's size, not the data's)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.regexp_replace("path", r"^.*?/(metadata|stages)/", "$1/").alias("name"), F.col("length").alias("bytes"),
+        F.sha2(F.col("content"), 256).alias("sha256"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda f: F.concat_ws(":", f["name"], f["sha256"]))
+    return files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"),
+                     F.sha2(F.array_join(listed, "\n"), 256).alias("sha256"))
+
+
+def verify_artifact(spark, path: str, sha256: str) -> None:
+    """Raise unless the saved model at ``path`` still has the digest that was recorded for it."""
+    if artifact_checksum(spark, path).first()["sha256"] != sha256:
+        raise ValueError(f"{UNVERIFIED}: {path}")

@@ -5,7 +5,7 @@ checksums (A29)."""
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -89,13 +89,20 @@ def q_permutation(spark, d):
     return rounded(ML.permutation_importance(model, va, PREDICTORS, max_copies=100))
 
 
+def _model_path(spark, name):
+    return os.path.join(checkpoint_dir(spark), "models", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 @register("forest_feature_importance")
 def q_tree_importance(spark, d):
     f = _features(spark, d)
     tr = PR.eligible(f, "train")
-    model = ML.fit_model(tr, PREDICTORS, "random_forest")
-    prep = ML.fit_preprocessing(tr, PREDICTORS, scale=False)
-    return rounded(ML.tree_importance(spark, model, prep.output_names))
+    statistics = ML.fill_statistics(tr, PREDICTORS)
+    model = ML.fit_model(tr, PREDICTORS, "random_forest", statistics=statistics)
+    path = _model_path(spark, "forest")
+    model.write().save(path)
+    prep = ML.fit_preprocessing(tr, PREDICTORS, scale=False, statistics=statistics)
+    return rounded(ML.tree_importance(spark, path, prep.output_names))
 
 
 @register("model_save_verify")
@@ -103,9 +110,12 @@ def q_save_verify(spark, d):
     f = _features(spark, d)
     tr, te = PR.eligible(f, "train"), PR.eligible(f, "test")
     model = ML.fit_model(tr, PREDICTORS, "ridge")
-    path = os.path.join(checkpoint_dir(spark), "models", "ridge-" + next(tempfile._get_candidate_names()))
+    path = _model_path(spark, "ridge")
     diff = ML.save_and_verify(model, path, te)
-    return spark.createDataFrame([("ridge", diff)], "model_identifier string, max_abs_prediction_difference double")
+    saved = REG.artifact_checksum(spark, path).first()
+    REG.verify_artifact(spark, path, saved["sha256"])
+    return spark.createDataFrame([("ridge", diff, saved["files"])],
+                                 "model_identifier string, max_abs_prediction_difference double, artifact_files long")
 
 
 def _registry_events(spark, d):
