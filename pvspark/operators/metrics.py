@@ -7,6 +7,8 @@ cohorts are evaluated in one pass.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,20 +229,41 @@ def cumulative_energy(report: DataFrame, group_cols: list[str] = ("model_identif
 
 # ------------------------------------------------------------------ A24
 def g_format(c: Column) -> Column:
-    """Python ``{x:g}``: six significant digits without trailing zeros."""
+    """Python ``{x:g}``: six significant digits without trailing zeros.
+
+    What is rounded is the double's own binary value, as Python does it: quartiles of prices often end in a
+    seventh digit 5, and there the shortest decimal text does not tell on which side of the tie the double lies.
+    Between 1e-4 and 1e6 the value is taken as a whole number of 2^-64; outside, its shortest text is rounded (null below 1e-323).
+    """
     x = c.cast("double")
+    y = F.abs(x)
     power = lambda e: F.pow(F.lit(10.0), e)
-    e = F.floor(F.log10(F.abs(x)))
-    digits = F.bround(x / power(e), 5)  # rounding can reach the next power of ten
-    e, digits = F.when(F.abs(digits) >= 10, e + 1).otherwise(e), F.when(F.abs(digits) >= 10, digits / 10).otherwise(digits)
 
     def strip(s: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
-    exponent = F.concat(F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    fixed = strip((digits * power(e)).cast("decimal(24,10)").cast("string"))
-    scientific = F.concat(strip(digits.cast("decimal(12,5)").cast("string")), F.lit("e"), exponent)
-    return F.when(x == 0, "0").when((e < -4) | (e >= 6), scientific).otherwise(fixed)
+    def whole(v: Column, digits: int = 20) -> Column:
+        return v.cast(f"decimal({digits},0)")
+
+    e = F.floor(F.log10(y))
+    e = F.when(power(e) > y, e - 1).otherwise(e)
+    two32, two64 = F.lit(Decimal(1 << 32)), F.lit(Decimal(1 << 64))
+    z = F.when((y >= 1e-4) & (y < 999999.5), y)  # null outside, and so is all that follows from it
+    high = (z - F.floor(z)) * float(1 << 32)
+    units = whole(F.floor(z), 10) * two64 + whole(F.floor(high)) * two32 + whole(F.floor((high - F.floor(high)) * float(1 << 32)))
+    scale = whole(power(5 - F.when(z.isNotNull(), e)), 10)  # 10^0 to 10^9
+    scaled = whole(units * scale, 38)
+    rest = scaled % two64
+    kept = whole((scaled - rest) / two64)
+    half = F.lit(Decimal(1 << 63))
+    kept = kept + F.when((rest > half) | ((rest == half) & (kept % 2 == 1)), 1).otherwise(0)
+    near = strip((kept / scale).cast("decimal(24,10)").cast("string"))
+
+    digits = F.bround(F.try_divide(y, power(e)), 5)  # rounding can reach the next power of ten
+    e, digits = F.when(digits >= 10, e + 1).otherwise(e), F.when(digits >= 10, digits / 10).otherwise(digits)
+    exponent = F.concat(F.when(e < 0, "-").otherwise("+"), F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"))
+    far = F.concat(strip(digits.cast("decimal(12,5)").cast("string")), F.lit("e"), exponent)
+    return F.when(x == 0, "0").otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.coalesce(near, far)))
 
 
 def robustness(df: DataFrame, y: str = TARGET, p: str = "prediction", group_cols: list[str] = ()) -> DataFrame:

@@ -14,6 +14,7 @@ from pvspark.functions import hours_between
 from pvspark.functions.quantiles import exact_percentiles
 from pvspark.operators import sequence as S
 from pvspark.operators.config import AnalysisThresholds
+from pvspark.operators.metrics import g_format
 from pvspark.schema import HOUR_US, NUMERIC, OPTIONAL, TARGET
 
 FLAG_SCHEMA = T.StructType([
@@ -200,11 +201,11 @@ def quality_flags(df: DataFrame, th: AnalysisThresholds = AnalysisThresholds(),
     m = th.outlier_iqr_multiplier
     parts.append(outliers(df, th).select(
         "site_id", "timestamp", F.lit("extreme_value_iqr").alias("indicator"), "column", "value",
-        F.format_string(f"Outside Tukey fences [%s, %s] using {_g(m)} × IQR.", "lower", "upper").alias("detail")))
+        F.format_string(f"Outside Tukey fences [%s, %s] using {_g(m)} × IQR.", g_format(F.col("lower")), g_format(F.col("upper"))).alias("detail")))
     parts.append(abrupt_changes(df, th, block_hours, target, prev).select(
         "site_id", "timestamp", F.lit("abrupt_generation_change").alias("indicator"), F.lit(target).alias("column"),
         F.col(target).alias("value"),
-        F.format_string("Absolute adjacent-hour change exceeds the Tukey upper fence %s kWh.", "upper_fence").alias("detail")))
+        F.format_string("Absolute adjacent-hour change exceeds the Tukey upper fence %s kWh.", g_format(F.col("upper_fence"))).alias("detail")))
     parts.append(different_date_ranges(df).filter(F.col("sites_have_different_date_ranges")).select(
         F.lit(None).cast("string").alias("site_id"), F.lit(None).cast("timestamp").alias("timestamp"),
         F.lit("sites_have_different_date_ranges").alias("indicator"), F.lit("timestamp").alias("column"),

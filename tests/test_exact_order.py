@@ -57,7 +57,8 @@ def test_percentiles_narrow_their_bands_until_one_task_can_order_them(spark, mon
 
 
 def test_g_format_is_pythons(spark):
-    xs = [0.0, 1.0, -2.5, 1234.5678, 123456.5, 999999.5, 1e6, 1.5e-5, 0.00012345678, 1e-4, 455.123456, 12.3, -0.1, 9.999996]
+    ties = [-73.79625, 100000.5, 100001.5, 2.5, 999999.5, 99999.95, 0.00012345675, 1234565.0, 0.1234565, 1e300]
+    xs = ties + [0.0, 1.0, -2.5, 1234.5678, 123456.5, 999999.5, 1e6, 1.5e-5, 0.00012345678, 1e-4, 455.123456, 12.3, -0.1, 9.999996]
     rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", g_format(F.col("x")).alias("s")).collect()
     assert {r["x"]: r["s"] for r in rows} == {x: f"{x:g}" for x in xs}
 
