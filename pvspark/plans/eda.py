@@ -1,6 +1,6 @@
 """Exploratory-analysis bundle and feature job as composed Spark jobs.
 
-The validated hourly table is persisted once and every analysis reads it
+The validated hourly table is written once and every analysis reads it
 (the reference re-scans its frame for each of eight analyses).
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from pvspark.operators import eligibility as EL
@@ -18,6 +17,7 @@ from pvspark.operators import profile as P
 from pvspark.operators import quality as Q
 from pvspark.operators import splits as SP
 from pvspark.operators.config import AnalysisThresholds, FeatureConfig, SplitProportions
+from pvspark.session import cut_lineage
 from pvspark.sources import io
 
 
@@ -31,7 +31,7 @@ def run_analysis(hourly: DataFrame, thresholds: AnalysisThresholds = AnalysisThr
                  proportions: SplitProportions = SplitProportions(), output_dir: str | None = None) -> AnalysisBundle:
     """Profile, statistics, temporal summaries, correlations, quality flags,
     readiness and the chronological split plan of one validated table."""
-    df = hourly.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cut_lineage(hourly)
     plan = SP.plan_chronological_splits(df, proportions)
     labelled = SP.label_chronological(df, plan)
     flags = Q.quality_flags(df, thresholds)
