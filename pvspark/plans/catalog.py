@@ -13,6 +13,7 @@ from pvspark.plans import q_charts  # noqa: F401
 from pvspark.plans import q_models  # noqa: F401
 from pvspark.plans import q_io  # noqa: F401
 from pvspark.plans import q_tuning  # noqa: F401
+from pvspark.plans import q_records  # noqa: F401
 from pvspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 
 flagship = q_history.flagship
