@@ -3,7 +3,7 @@
 Beside the patterns, a candidate is any token of ten characters or more with a letter in it and a sensitive
 word in its surroundings, on either side and over line breaks, or the body of a PEM private key. Its
 novelty is the number of bytes that it adds to the zstandard frame of its surroundings, with a compressor
-primed by a dictionary: words that recur in a bounded sample of the corpus, and words of code. Names, paths and
+primed by a dictionary: words that recur in the texts of the corpus, and words of code. Names, paths and
 words of the corpus add a few bytes a word; random keys add nearly a byte a character, since a frame this
 short gives their characters no short codes.
 """
@@ -39,10 +39,9 @@ AROUND = 400        # characters of surroundings that hold the sensitive word an
 NOVEL_BYTES = 12    # marginal bytes from which a candidate is reported,
 NOVEL_SHARE = 0.88  # also as a share of its characters;
 LONG, LONG_SHARE = 64, 0.68  # longer candidates have characters enough to get codes of six bits
-SAMPLE_ROWS = 512   # texts whose words prime the compressor: those of the least hashes,
-SAMPLE_CHARS = 4096  # so many characters of each,
-SAMPLE_WORDS = 4000  # and so many words that at least SAMPLE_TEXTS of them share
-SAMPLE_TEXTS = 3
+SHARED_WORDS = 4000  # most frequent words that prime the compressor: each in
+SHARED_TEXTS = 3     # so many different texts at least,
+SHARED_SHARE = 3 / 512  # and in this share of all
 
 # Words of code that prime the compressor, beside those of the corpus.
 _IDENTIFIERS = (
@@ -63,14 +62,33 @@ _IDENTIFIERS = (
     "serializer scheduler executor monitor logger metric alert test main source target field column table row key "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 http https www com org net localhost xxxxxxxx")
 _WORD = re.compile(r"[^\W\d_]{4,}")
+_SPARK_WORD = r"[\p{L}\p{Nl}\p{No}]{4,}"  # the same in Spark's expressions
+
+
+def _primer(shared: list[str]) -> bytes:
+    """The compressor's dictionary: the shared words, most frequent first, turned round, and words of code: the most
+    frequent ones and those of code are last, where they are nearest."""
+    return " ".join([*reversed(shared), _IDENTIFIERS]).encode()
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """The compressor's dictionary: words that several of the sampled texts share, the most frequent and words of code
-    last, where they are nearest."""
+    """The dictionary of a few texts at hand, each of them taken as different from the others."""
     seen = Counter(w for t in texts for w in set(_WORD.findall(t)))
-    shared = sorted((w for w, n in seen.items() if n >= SAMPLE_TEXTS), key=lambda w: (-seen[w], w))[:SAMPLE_WORDS]
-    return " ".join([*reversed(shared), _IDENTIFIERS]).encode()
+    least = max(SHARED_TEXTS, SHARED_SHARE * len(texts))
+    return _primer(sorted((w for w, n in seen.items() if n >= least), key=lambda w: (-seen[w], w))[:SHARED_WORDS])
+
+
+def shared_words(rows: DataFrame) -> list[str]:
+    """The words that the different texts of ``rows`` share, most frequent first, counted over every whole text.
+
+    Copies count once: what is shuffled by text is its hash and its distinct words, joined in one string, since an
+    array of them takes more than twice the disk. At most SHARED_WORDS words reach the driver."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(_SPARK_WORD), 0))
+    words = rows.select(F.xxhash64("text").alias("hash"), F.array_join(found, " ").alias("words"))
+    least = max(SHARED_TEXTS, SHARED_SHARE * words.select("hash").distinct().count())
+    return [r["word"] for r in words.dropDuplicates(["hash"]).select(F.explode(F.split("words", " ")).alias("word"))
+            .where("word <> ''").groupBy("word").count().where(F.col("count") >= least)
+            .orderBy(F.desc("count"), "word").limit(SHARED_WORDS).collect()]
 
 
 @functools.lru_cache(maxsize=4)
@@ -135,14 +153,11 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Spans are code points with an exclusive end, ordered by start, then kind; ``spans`` holds the base
     ones and the novel ones. A null or empty text has none. Null and repeated ids are kept, row by
-    row; an empty table gives an empty result; other columns are not read. The dictionary's words come
-    from SAMPLE_ROWS texts, those whose hashes are least; every text is scanned whole.
+    row; an empty table gives an empty result; other columns are not read. The dictionary's words are
+    counted over all whole texts, and every text is scanned whole.
     """
     rows = id_and_text(documents, id_col, text_col)
-    heads = rows.select(F.substring("text", 1, SAMPLE_CHARS).alias("head")).withColumn("hash", F.xxhash64("head"))
-    least = heads.select("hash").distinct().orderBy("hash").limit(SAMPLE_ROWS).collect()  # a long each; copies count once
-    sample = heads.where(F.col("hash") <= least[-1]["hash"]).dropDuplicates(["hash"]).collect() if least else []
-    primer = rows.sparkSession.sparkContext.broadcast(dictionary([r["head"] for r in sample]))
+    primer = rows.sparkSession.sparkContext.broadcast(_primer(shared_words(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

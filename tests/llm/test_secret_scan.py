@@ -118,3 +118,14 @@ def test_a_text_of_megabytes_with_many_candidates():
 def test_dictionary_keeps_what_texts_share():
     words = secret_scan.dictionary(["alpha beta zulu1", "alpha beta", "alpha gamma", "beta alpha Xk9dL2pQ"]).decode().split()
     assert words[:2] == ["beta", "alpha"] and "gamma" not in words and secret_scan.dictionary([]).decode().startswith("password")
+
+
+def test_words_are_counted_over_all_whole_texts(spark):
+    # 2000 different texts, more than any sample: "zuletzt" stands in 1 of 100 of them, behind 5000 characters.
+    texts = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(5)) + " gemeinsam " + "ab " * 1700
+             + ("zuletzt" if i % 100 == 0 else "") for i in range(2000)]
+    copies = ["einmaliges geheim"] * 500 + [None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + copies)], "doc_id long, text string")
+    found = secret_scan.shared_words(secret_scan.id_and_text(rows, "doc_id", "text"))
+    assert found == ["gemeinsam", "zuletzt"]  # copies count once
+    assert secret_scan.shared_words(secret_scan.id_and_text(rows.limit(0), "doc_id", "text")) == []
