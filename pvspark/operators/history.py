@@ -92,7 +92,11 @@ def add_history(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), *,
     exprs, hist, lag_names, failures = history_columns(cfg, df.columns, target)
     if not exprs:
         return df, hist, lag_names, failures
-    staged = blocks.blocked(df, cfg.reach_hours, block_hours)
+    # A row's frames cost far more than its bytes tell, so the adaptive merging of small partitions, which goes by
+    # bytes, would leave a task a core: a number of partitions that is asked for is kept.
+    spark = df.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    staged = blocks.blocked(df, cfg.reach_hours, block_hours).repartition(parts, "site_id", blocks.BLOCK)
     out = staged.select("*", *[e.alias(n) for n, e in exprs])
     return blocks.home_rows(out).drop(blocks.US), hist, lag_names, failures
 

@@ -84,3 +84,14 @@ def test_weather_lags_exact_time(ramp):
     out, _, names, _ = add_history(df, FeatureConfig(include_target_history=False, weather_lag_hours=(24,)))
     assert "ghi_lag_24h" in names
     assert _row(out, "site-0", 30)["ghi_lag_24h"] == 12.0
+
+
+def test_history_frames_keep_their_partitions(spark, ramp):
+    # 40 small sites fit in one task by their bytes; their frames are still dealt out over all partitions.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        wide, *_ = add_history(ramp(sites=40, hours=60), FeatureConfig())
+        assert wide.select(F.spark_partition_id().alias("p")).distinct().count() > 16 and wide.count() == 40 * 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
