@@ -149,6 +149,7 @@ def q_plan_counts(spark, d):
 # ------------------------------------------------------------------ S7
 _SITES_SQL = """WITH s AS (SELECT s_suppkey AS i, s_suppkey % 10 AS kind FROM supplier)
 """
+SITES_A_TASK = 50  # files that one task writes, about
 
 
 def _site_files(spark, d) -> str:
@@ -166,8 +167,10 @@ def _site_files(spark, d) -> str:
     body = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*texts)), ", "), F.lit("}"))
     text = F.when(kind == 0, F.substring(body, 1, 40)).when(kind == 5, F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
     path = _scratch(spark, "sites")
-    spark.read.parquet(table_path(d, "supplier")).select(i.alias("site"), text.alias("value")).repartition("site").write.partitionBy(
-        "site").text(path)
+    suppliers = spark.read.parquet(table_path(d, "supplier"))
+    # The cost is that of creating files, not of their few bytes, by which adaptive execution would merge all into one task.
+    tasks = max(1, -(-suppliers.count() // SITES_A_TASK))
+    suppliers.select(i.alias("site"), text.alias("value")).repartition(tasks, "site").write.partitionBy("site").text(path)
     return path
 
 

@@ -1,5 +1,6 @@
 """Nested records, split-plan counts, site files, order of rows, node tables, artifact digests."""
 
+import glob
 import json
 import os
 from datetime import datetime, timedelta
@@ -14,6 +15,7 @@ from pvspark.operators import registry as REG
 from pvspark.operators import rules as R
 from pvspark.operators import splits as SP
 from pvspark.operators.config import FeatureConfig
+from pvspark.plans import q_records as QR
 from pvspark.plans import training as TR
 from pvspark.sources import io
 from pvspark.sources import sites as SI
@@ -128,6 +130,15 @@ def test_site_files_with_every_fault(spark, tmp_path):
         SI.read_sites(spark, path)
 
 
+def test_planted_site_files_are_written_by_many_tasks(spark, tmp_path):
+    """One file a site, by about SITES_A_TASK files a task: adaptive execution does not merge them by their few bytes."""
+    n = 2 * QR.SITES_A_TASK + 1
+    spark.range(1, n + 1).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    files = glob.glob(os.path.join(QR._site_files(spark, str(tmp_path)).removeprefix("file:"), "site=*", "part-*"))
+    assert len({os.path.dirname(f) for f in files}) == len(files) == n
+    assert len({os.path.basename(f).split("-")[1] for f in files}) == 3
+
+
 def test_reading_sites(spark, tmp_path):
     assert SI.read_sites(spark, sites(tmp_path, a=SITE, b=SITE | {"site_id": "b"})).count() == 2
     with pytest.raises(SI.SiteConfigurationError, match="does not exist"):
