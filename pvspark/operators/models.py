@@ -354,13 +354,15 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
                            max_copies: int = 25) -> DataFrame:
     """Drop in negative MAE when one predictor is permuted (k repeats).
 
-    Group g = (predictor, repeat).  Every row is copied once per group
-    (``explode``, no join); in group g row i takes the predictor value of the
-    row whose seeded-hash rank in g equals i.  All groups have exactly n rows,
-    so one global rank over (g, hash) gives the within-group rank as
-    ``rank - g * n``.  Predictors are processed in chunks so that one job
-    holds at most ``max_copies`` copies of the rows (the work is the same,
-    the intermediate stays bounded at 100 TB).
+    Group g = (predictor, repeat).  In group g row i takes the predictor value
+    of the row whose seeded-hash rank in g equals i.  All groups have exactly n
+    rows, so one global rank over (g, hash) gives the within-group rank as
+    ``rank - g * n``.  The values that a row takes come to it as one array, so
+    only (group, row, value) is shuffled per group; the row is copied behind
+    the join (``explode``), where copies go straight into the model.
+    Predictors are processed in chunks so that one job holds at most
+    ``max_copies`` values a row (the work is the same, the intermediate stays
+    bounded at 100 TB).
     """
     key = list(key)
     spark = rows.sparkSession
@@ -370,6 +372,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
     base_mae = predict(model, ranked, ["_i", TARGET]).agg(
         F.avg(F.abs(F.col("prediction") - F.col(TARGET)))).first()[0]
     chunk = max(1, max_copies // max(1, repeats))
+    # By their bytes the rows would be merged into few tasks; the cost is that of their copies.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     results = []
     for start in range(0, len(predictors), chunk):
         part = predictors[start:start + chunk]
@@ -382,8 +386,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
         src = src.select("_g", "_i", F.element_at("_vals", pidx + 1).alias("_v"),
                          F.xxhash64(F.lit(seed), pidx + start, g % repeats, "_i").alias("_h"))
         src = global_rank(src, ["_g", "_h", "_i"], "_r").select("_g", (F.col("_r") - g * n).alias("_i"), "_v")
-        tgt = ranked.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-        perm = tgt.join(src, ["_g", "_i"])
+        taken = src.repartition(tasks, "_i").groupBy("_i").agg(F.collect_list(F.struct("_g", "_v")).alias("_taken"))  # one a group
+        perm = ranked.repartition(tasks, "_i").join(taken, "_i").select(*ranked.columns, F.inline("_taken").alias("_g", "_v"))
         perm = perm.select(*[F.when(pidx == k, F.col("_v")).otherwise(F.col(p).cast("double")).alias(p)
                              for k, p in enumerate(part)],
                            *[c for c in ranked.columns if c not in part], "_g")

@@ -99,6 +99,25 @@ def test_permutation_importance_ranks_informative_feature(spark):
     assert imp["x1"] > imp["x2"] > 0
 
 
+def test_permuted_copies_are_scored_by_all_tasks(spark):
+    """Copies are made behind the join, whose few bytes do not merge its tasks; each group scores every row once."""
+    df = _train(spark, 80)
+    model, seen = ML.fit_model(df, ["x1", "x2"], "ridge"), []
+
+    class Watched:
+        def transform(self, rows):
+            seen.append(rows)
+            return model.transform(rows)
+
+    ML.permutation_importance(Watched(), df, ["x1", "x2"], repeats=2).collect()
+    copies = seen[-1]
+    assert copies.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = {r["_g"]: r for r in copies.groupBy("_g").agg(F.count("*").alias("n"), F.countDistinct("_i").alias("rows"),
+                                                           F.sort_array(F.collect_list("x1")).alias("x1")).collect()}
+    x1 = sorted(r["x1"] for r in df.select(F.col("x1").cast("double")).collect())
+    assert set(groups) == {0, 1, 2, 3} and all(g["n"] == g["rows"] == 80 and g["x1"] == x1 for g in groups.values())
+
+
 def test_global_rank_dense(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id"))
     r = ML.global_rank(df, ["k"], "r", partitions=7)
