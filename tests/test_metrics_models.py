@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -118,6 +119,14 @@ def test_permuted_copies_are_scored_by_all_tasks(spark):
     assert set(groups) == {0, 1, 2, 3} and all(g["n"] == g["rows"] == 80 and g["x1"] == x1 for g in groups.values())
 
 
+def test_independent_models_are_fitted_at_once(spark, monkeypatch):
+    """Each fit waits until the other has begun; both get the statistics, only the tuned one its parameters."""
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(ML, "fit_model", lambda train, predictors, m, cfg, params, *, statistics: (both.wait() >= 0, m, params, statistics))
+    got = ML.fit_models(None, [], ["ridge", "tuned_xgboost"], params={"n": 1}, statistics={"s": 2})
+    assert list(got.items()) == [("ridge", (True, "ridge", None, {"s": 2})), ("tuned_xgboost", (True, "tuned_xgboost", {"n": 1}, {"s": 2}))]
+
+
 def test_global_rank_dense(spark):
     df = spark.range(1000).withColumn("k", F.xxhash64("id"))
     r = ML.global_rank(df, ["k"], "r", partitions=7)
