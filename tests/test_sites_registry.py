@@ -1,6 +1,8 @@
 import hashlib
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from pvspark.operators import features as FE
@@ -44,6 +46,37 @@ def test_file_checksums(spark, tmp_path):
     assert r["sha256"] == hashlib.sha256(b"hello world").hexdigest() and r["bytes"] == 11
 
 
+def _noise(n):
+    return random.Random(n).randbytes(n)
+
+
+@pytest.mark.parametrize("content", [
+    _noise(50_000), _noise(50_000) + b"\n", b"\n" + _noise(40_000) + b"\n\n", b"\xef\xbb\xbf" + _noise(30_000),
+    b"\xef\xbb\xbf" + _noise(30_000) + b"\n", b"a\r\nb\r" * 5_000, b"\0" * 30_000, b"\n" * 30_000,
+    b"\0" * 9_000 + _noise(9_000) + b"\xff" * 9_000], ids=range(9))
+def test_checksum_of_a_large_file_is_handed_from_task_to_task(spark, tmp_path, monkeypatch, content):
+    read = []
+    monkeypatch.setattr(REG, "WHOLE_FILE_BYTES", 1000)
+    monkeypatch.setattr(REG, "_sha256_of_lines", lambda *a, f=REG._sha256_of_lines: read.append(a) or f(*a))
+    (tmp_path / "large [1].bin").write_bytes(content)
+    (tmp_path / "small.bin").write_bytes(b"x")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r["file_name"]: (r["bytes"], r["sha256"]) for r in REG.file_checksums(spark, str(tmp_path / "*.bin")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in (("large [1].bin", content), ("small.bin", b"x"))}
+    assert len(read) >= len(content) // 4096  # a task a split
+
+
+def test_checksum_of_a_large_file_that_text_readers_unpack(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(REG, "WHOLE_FILE_BYTES", 10)
+    (tmp_path / "a.gz").write_bytes(b"no gzip, but longer")
+    r = REG.file_checksums(spark, str(tmp_path / "*")).first()
+    assert r["sha256"] == hashlib.sha256(b"no gzip, but longer").hexdigest()
+
+
 def test_weather_summary_all_null_column(spark):
     df = spark.createDataFrame([("a", datetime(2025, 1, 1), 1.0, 5.0, None)],
                                "site_id string, timestamp timestamp, ac_energy_kwh double, ghi_w_m2 double, dni_w_m2 double")
