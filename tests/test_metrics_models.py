@@ -87,6 +87,19 @@ def test_imputation_is_exact_median_and_train_only(spark):
     assert t["median"] == 2.0 and t["train_missing_count"] == 1
 
 
+def test_imputation_unpivots_plain_doubles(spark, monkeypatch):
+    from pvspark.functions import quantiles
+    seen, plain = [], quantiles.exact_percentiles
+    monkeypatch.setattr(quantiles, "exact_percentiles", lambda df, *a, **kw: seen.append(df) or plain(df, *a, **kw))
+    nan = float("nan")
+    rows = [(1, 1.0, None, nan), (2, None, None, 5.0), (4, 3.0, None, None), (4, 3.0, None, 7.0), (None, 2.0, None, nan)]
+    df = spark.createDataFrame(rows, "a int, `b` double, c double, d double")
+    got = {r["feature"]: (r["median"], r["train_missing_count"]) for r in ML.imputation_table(df, ["a", "b", "c", "d"]).collect()}
+    assert got == {"a": (3.0, 1), "b": (2.5, 1), "c": (None, 5), "d": (6.0, 1)}
+    assert {t for _, t in seen[0].dtypes} == {"int", "double"}  # no name of a column beside each value
+    assert ML.imputation_table(df.limit(0), ["a", "b"]).count() == 0
+
+
 def test_save_reload_same_predictions(spark, tmp_path):
     df = _train(spark)
     model = ML.fit_model(df, ["x1", "x2"], "random_forest", ML.TrainingConfig(random_forest_estimators=5))
