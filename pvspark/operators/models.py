@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
@@ -372,13 +375,18 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
     the join (``explode``), where copies go straight into the model.
     Predictors are processed in chunks so that one job holds at most
     ``max_copies`` values a row (the work is the same, the intermediate stays
-    bounded at 100 TB).
+    bounded at 100 TB).  The model scores every copy as a whole, except where
+    it is linear (``linear_terms``): then each copy's error is the row's own
+    with one predictor's share of the prediction exchanged.
     """
     key = list(key)
     spark = rows.sparkSession
     base = rows.withColumn("_k", F.xxhash64(*key))
     ranked = global_rank(base, ["_k", *key], "_i").drop("_k")
     n = ranked.count()
+    terms = linear_terms(model, predictors)
+    if terms is not None:
+        return _importance_table(spark, _linear_importance(model, ranked, n, terms, predictors, repeats, seed, max_copies))
     base_mae = predict(model, ranked, ["_i", TARGET]).agg(
         F.avg(F.abs(F.col("prediction") - F.col(TARGET)))).first()[0]
     chunk = max(1, max_copies // max(1, repeats))
@@ -406,12 +414,73 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, predictors: li
         names = F.element_at(F.array(*[F.lit(p) for p in part]), pidx + 1)
         results.append(scored.select(names.alias("predictor"), (F.col("_mae") - F.lit(base_mae)).alias("importance"))
                        .collect())  # len(part) * repeats rows
-    flat = [(r["predictor"], float(r["importance"])) for rs in results for r in rs]
-    imp = spark.createDataFrame(flat, "predictor string, importance double")
+    return _importance_table(spark, [(r["predictor"], float(r["importance"])) for rs in results for r in rs])
+
+
+def _importance_table(spark, importances: list[tuple[str, float]]) -> DataFrame:
+    """Mean and standard deviation over the repeats of each predictor."""
+    imp = spark.createDataFrame(importances, "predictor string, importance double")
     return imp.groupBy("predictor").agg(F.avg("importance").alias("importance_mean"),
                                         F.stddev_pop("importance").alias("importance_std"))
 
 
+# One numeric feature as ``fit_preprocessing`` writes it, filled or missing, scaled or not: groups are the column, then the name.
+_NUMBER = r"CAST\('[^']*' AS DOUBLE\)"
+_NAME = r"`((?:[^`]|``)+)`"
+_FEATURE = re.compile(rf", (?:\(\()?(?:coalesce\(CAST\({_NAME} AS DOUBLE\), {_NUMBER}\)|CAST\({_NAME} IS NULL AS DOUBLE\))"
+                      rf"(?:\) - {_NUMBER}\) / {_NUMBER})? AS {_NAME}")
+
+
+def linear_terms(model, predictors: list[str]) -> list[list[tuple[int, float]]] | None:
+    """(place in the feature vector, coefficient) of the features made from each predictor, where ``model`` is linear
+    in features of one column each, as ``fit_model`` makes ridge; None for any other model."""
+    stages = getattr(model, "stages", [])
+    if [type(stage) for stage in stages] != [SQLTransformer, VectorAssembler, LinearRegressionModel]:
+        return None
+    fill, assemble, line = stages
+    found = list(_FEATURE.finditer(fill.getStatement()))
+    if f"SELECT *{''.join(m[0] for m in found)} FROM __THIS__" != fill.getStatement() or len(set(predictors)) != len(predictors):
+        return None
+    column = {m[3]: (m[1] or m[2]).replace("``", "`") for m in found}
+    inputs = assemble.getInputCols()
+    if not set(inputs) <= set(column) or assemble.getOutputCol() != line.getFeaturesCol() or line.numFeatures != len(inputs):
+        return None
+    coefficients = [float(x) for x in line.coefficients.toArray()]
+    return [[(k, coefficients[k]) for k, name in enumerate(inputs) if column[name] == p] for p in predictors]
+
+
+def _linear_importance(model, ranked: DataFrame, n: int, terms, predictors: list[str], repeats: int, seed: int,
+                       max_copies: int) -> list[tuple[str, float]]:
+    """M13 of a linear model, the permutations those of the general form.
+
+    A row's prediction is the sum of its predictors' shares, each made from one column, so the rows are scored once.
+    In group g row i has the share of predictor p that the row ranked i in g has of it, in place of its own: only
+    (group, row, share) is sorted and shuffled, and met by the row's error without its own share.
+    """
+    features = model.stages[-1].getFeaturesCol()
+    x = F.col("_x")
+    shares = [reduce(lambda a, b: a + b, [F.lit(w) * x[k] for k, w in of], F.lit(0.0)) for of in terms]
+    scored = cut_lineage(model.transform(ranked).select("_i", (F.col("prediction") - F.col(TARGET)).alias("_e"),
+                                                        vector_to_array(features).alias("_x"))
+                         .select("_i", "_e", F.array(*shares).alias("_shares")))
+    base_mae = scored.agg(F.avg(F.abs("_e"))).first()[0]
+    chunk = max(1, max_copies // max(1, repeats))
+    g, pidx, results = F.col("_g"), (F.col("_g") / repeats).cast("int"), []
+    for start in range(0, len(predictors), chunk):
+        part = predictors[start:start + chunk]
+        mine = scored.select("_i", "_e", F.slice("_shares", start + 1, len(part)).alias("_shares"))
+        src = mine.select("_i", "_shares", F.explode(F.sequence(F.lit(0), F.lit(len(part) * repeats - 1))).alias("_g"))
+        # Global predictor index keeps the hash seeds independent of the chunking.
+        src = src.select("_g", "_i", F.element_at("_shares", pidx + 1).alias("_v"),
+                         F.xxhash64(F.lit(seed), pidx + start, g % repeats, "_i").alias("_h"))
+        src = global_rank(src, ["_g", "_h", "_i"], "_r").select("_g", (F.col("_r") - g * n).alias("_i"), "_v")
+        rest = mine.select("_i", F.transform("_shares", lambda share: F.col("_e") - share).alias("_rest"))
+        met = src.join(rest.hint("shuffle_hash"), "_i").groupBy("_g").agg(
+            F.avg(F.abs(F.col("_v") + F.element_at("_rest", pidx + 1))).alias("_mae"))
+        results += [(part[r["_g"] // repeats], float(r["_mae"] - base_mae)) for r in met.collect()]  # one a group
+    return results
+
+
 def global_rank(df: DataFrame, order: list[str], name: str, partitions: int | None = None) -> DataFrame:
     """Dense 0-based rank by ``order`` without a single-partition window.
 

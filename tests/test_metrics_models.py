@@ -132,6 +132,35 @@ def test_permuted_copies_are_scored_by_all_tasks(spark):
     assert set(groups) == {0, 1, 2, 3} and all(g["n"] == g["rows"] == 80 and g["x1"] == x1 for g in groups.values())
 
 
+def test_linear_copies_exchange_one_share(spark, monkeypatch):
+    """A linear model scores each row once, not once a copy, with the importances that scoring whole copies gives."""
+    df = _train(spark, 80).withColumns({"odd name": F.col("x1") * F.col("x1"), "none": F.lit(None).cast("double")})
+    df = df.unionByName(df.limit(3))  # keys that repeat
+    names = ["x1", "x2", "odd name", "none"]
+    model, asked = ML.fit_model(df, names, "ridge"), []
+    assert [len(t) for t in ML.linear_terms(model, names)] == [1, 2, 1, 1]  # value, value and indicator, value, indicator
+    plain = type(model).transform
+    monkeypatch.setattr(type(model), "transform", lambda self, rows: asked.append(rows) or plain(self, rows))
+
+    def table(m):
+        return {r["predictor"]: (r["importance_mean"], r["importance_std"])
+                for r in ML.permutation_importance(m, df, names, repeats=3, max_copies=6).collect()}
+
+    got = table(model)
+    assert [rows.count() for rows in asked] == [83]
+
+    class Opaque:
+        def transform(self, rows):
+            return plain(model, rows)
+
+    want = table(Opaque())
+    assert set(got) == set(want) == set(names)
+    assert all(got[p] == pytest.approx(want[p], abs=1e-9) for p in names)
+    assert ML.linear_terms(ML.fit_model(df, names, "dummy_mean"), names) is None
+    other = ML.SQLTransformer(statement="SELECT *, x1 * x2 AS `__f0` FROM __THIS__")
+    assert ML.linear_terms(ML.PipelineModel([other, *model.stages[1:]]), names) is None
+
+
 def test_independent_models_are_fitted_at_once(spark, monkeypatch):
     """Each fit waits until the other has begun; both get the statistics, only the tuned one its parameters."""
     both = threading.Barrier(2, timeout=20)
